@@ -24,7 +24,25 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op2_vector_best_fit": op2_vector_best_fit,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_token_files": op6_token_files,
 }
