@@ -18,6 +18,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .langid import identified
+
+    return identified(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -43,6 +51,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_vector_best_fit": op2_vector_best_fit,
+    "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_files": op6_token_files,
 }
