@@ -38,7 +38,8 @@ from .common import components, dropped, mix64, shingle_set, written
 SKETCH = 128  # values kept per document
 LISTED = 24  # of these, the smallest ones have inverted lists
 SHORT = 64  # longest list whose pairs are joined
-BLOCK = 1024  # members of a long list that one task compares with one another at a time
+BLOCK = 512  # members of a long list that one task compares with one another at a time
+COLUMNS = 2048  # retained values that are compared at a time
 LEAST_ESTIMATE = 0.5  # union-sketch estimate of pairs that are verified
 
 
@@ -100,15 +101,18 @@ def _long_lists(members: DataFrame, percent: int) -> DataFrame:
             counts = np.bincount(place)
             column = np.full(len(values), -1)
             column[counts > 1] = np.arange(int((counts > 1).sum()))
-            at, grids = 0, []
-            for side in sets:
-                grid = np.zeros((len(side), int(column.max()) + 1), np.float32)
-                rows = np.repeat(np.arange(len(side)), [len(s) for s in side])
-                cols = column[place[at : at + len(rows)]]
-                at += len(rows)
-                grid[rows[cols >= 0], cols[cols >= 0]] = 1
-                grids.append(grid)
-            shared = np.rint(grids[0] @ grids[1].T).astype(np.int64)
+            rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in sets]
+            cols = np.split(column[place], [len(rows[0])])
+            shared = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, int(column.max()) + 1, COLUMNS):  # shared values, by products of small 0/1 grids
+                grids = []
+                for r, c, side in zip(rows, cols, sets, strict=True):
+                    own = (c >= at) & (c < at + COLUMNS)
+                    grid = np.zeros((len(side), COLUMNS), np.float32)
+                    grid[r[own], c[own] - at] = 1
+                    grids.append(grid)
+                shared += grids[0] @ grids[1].T
+            shared = np.rint(shared).astype(np.int64)
             na, nb = (s["n"].to_numpy()[:, None] if k == 0 else s["n"].to_numpy()[None, :] for k, s in enumerate((left, right)))
             whole = (na <= SKETCH) & (nb <= SKETCH)
             sure = whole & (100 * shared >= percent * (na + nb - shared))

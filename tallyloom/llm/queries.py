@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python at a time: texts may be long, so few.
+BATCH_ROWS = 500
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,10 +53,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))).withColumnRenamed("id", "doc_id")
 
 
+def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_vector_best_fit": op2_vector_best_fit,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_files": op6_token_files,
+    "op8_adaptive_scan": op8_adaptive_scan,
 }
