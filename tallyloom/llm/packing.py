@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int, id_
             names = pdf["id"].tolist()
             for first, texts in in_slices(pdf["text"].tolist()):
                 rows = []
-                for k, ids in enumerate(encoder(tokenizer, True).encode(texts), first):
+                for k, ids in enumerate(encoder(tokenizer).encode(texts), first):
                     ids += tail
                     n = len(ids) // 4
                     cut = [0, *range(n % longest or longest, n + 1, longest)]

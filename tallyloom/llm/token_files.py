@@ -117,7 +117,7 @@ class TokenFileReader:
             yield int(row["id"]), ids[row["first"] : row["first"] + row["n"]]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, leading_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents by id ranges; returns the manifest (path, first_id, n_docs, n_ids)."""
     folder = new_path(docs.sparkSession, "tokens")
 
@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, leading_
                     files, path = opened(folder)
                     files.create_dir(path, recursive=True)
                     out, first = TokenFileWriter(uri), names[0]
-                for k, ids in enumerate(encoder(tokenizer, leading_space).encode(texts), at):
+                for k, ids in enumerate(encoder(tokenizer).encode(texts), at):
                     out.add(names[k], np.concatenate((np.frombuffer(ids, "<u4"), tail)))
         if out is not None:
             out.close()

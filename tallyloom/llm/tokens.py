@@ -1,24 +1,29 @@
 """Tokenising whole texts inside tasks, with a cache of words.
 
-A tokenizer from the ``tokenizers`` library splits a text into words before it merges, and never
-merges across the start of a run of white space. So a text cut at single spaces (each between two
-characters that are not white space) can be encoded word by word, and each worker keeps the ids of
-the words it has met. Texts with any other spacing are encoded in one piece. Both ways give the
-ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+A tokenizer from the ``tokenizers`` library splits a text into words before it merges. Letters and
+digits end a word before a comma, full stop, space or line break, and a word never reaches over the
+start of a run of white space. So a text can be cut there and encoded part by part, and each worker
+keeps the ids of the parts it has met. Texts where such a cut could part what belongs
+together (two marks or two white spaces in a row: ``LATE_MARK``, ``LONG_SPACE``) are cut at plain single spaces only,
+or encoded in one piece. All ways give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-CACHED_WORDS = 400_000  # per worker; the cache starts anew beyond it
+CACHED_WORDS = 800_000  # per worker; later words are encoded each time they come
 LONG_WORD = 64  # longer words are not kept
 CHARS_AT_ONCE = 4_000_000
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+LATE_MARK = re.compile(r"[.,](?<=[\W_].)", re.S)
+LONG_SPACE = re.compile(r"\s\s")
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _plain_end(word: str) -> bool:
@@ -26,82 +31,72 @@ def _plain_end(word: str) -> bool:
 
 
 class WordEncoder:
-    """Encodes texts to little-endian 32-bit ids.
-
-    leading_space: the tokenizer is byte-level and keeps the space before a word in its ids;
-    otherwise white space is dropped.
-    """
+    """Encodes texts to little-endian 32-bit ids."""
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.space = " " if leading_space else ""
-        self.mark, self.mark_id = "", None
-        for mark in ("\n",) if leading_space else (" ¶ ", " § ", " ~ ", " ^ "):
+        self.mark, self.mark_id = "", None  # a text between parts that is one id of its own
+        for mark in ("\n", " ¶", " § ", " ~ ", " ^ "):
             ids = np.frombuffer(self._ids([mark])[0], "<u4")
-            if len(ids) == 1:
+            if len(ids) == 1 and mark.strip(" ") == mark or len(ids) == 1 and not self._ids([" "])[0]:
                 self.mark, self.mark_id = mark, int(ids[0])
                 break
-        self.words: dict[str, bytes | None] = {}
-        self.firsts: dict[str, bytes | None] = self.words if not leading_space else {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words in one go: joined by a mark that is one id of its own."""
-        mark = self.mark.strip(" ")
-        easy = [w for w in new if mark not in w and _plain_end(w)] if self.mark_id is not None else []
+        """Encode parts in one go where they are plain words."""
+        sign = self.mark.strip(" ")
+        easy = [w for w in new if sign not in w and _plain_end(w)] if sign else []
         if easy:
-            ids = np.frombuffer(self._ids([self.mark.join(self.space + w for w in easy)])[0], "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
+            ids = np.frombuffer(self._ids([self.mark.join(easy)])[0], "<u4")
+            at = np.flatnonzero(ids == self.mark_id).tolist()
             if len(at) == len(easy) - 1:
-                self.words.update(zip(easy, (x[(k > 0) :].tobytes() for k, x in enumerate(np.split(ids, at))), strict=True))
+                raw = ids.tobytes()
+                self.words.update(zip(easy, (raw[a:b] for a, b in zip([0, *(4 * x + 4 for x in at)], [*(4 * x for x in at), len(raw)], strict=True)), strict=True))
             else:
                 easy = []
-        done = set(easy)
-        rest = [w for w in new if w not in done]
-        good = [w for w in rest if _plain_end(w)]
-        self.words.update(zip(good, self._ids([self.space + w for w in good]), strict=True))
-        for w in rest:
-            if not _plain_end(w):
-                self.words[w] = None if self.space or w else b""
+        rest = [w for w in new if w not in self.words] if len(easy) < len(new) else []
+        if rest:
+            self.words.update(zip(rest, self._ids(rest), strict=True))
+
+    def _parts(self, text: str) -> list[str] | None:
+        odd = text[:1] in ".," or text[:1].isspace() or "\0" in text
+        if not odd and not LATE_MARK.search(text) and not LONG_SPACE.search(text):
+            return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
+        words = text.split(" ")
+        if all(map(_plain_end, words[:-1])):
+            return [words[0], *(" " + w for w in words[1:])]
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-            self.firsts.clear()
-        new = list(set().union(*split) - self.words.keys())
+        parts = [self._parts(t) for t in texts]
+        new = list(set().union(*(p for p in parts if p)) - self.words.keys())
         if new:
             self._learn(new)
-        if self.space:
-            for w in {s[0] for s in split} - self.firsts.keys():
-                self.firsts[w] = self._ids([w])[0] if _plain_end(w) else None
-        out, whole = [], []
-        for k, s in enumerate(split):
-            try:
-                out.append(self.firsts[s[0]] + b"".join(map(self.words.__getitem__, s[1:])))
-            except TypeError:  # a word that must not be encoded by itself
-                out.append(b"")
-                whole.append(k)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, p)) if p else b"" for p in parts]
+        whole = [k for k, p in enumerate(parts) if p is None]
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
+        full = len(self.words) > CACHED_WORDS
         for w in new:
-            if len(w) > LONG_WORD:
-                self.words.pop(w, None)
+            if full or len(w) > LONG_WORD:
+                del self.words[w]
         return out
 
 
-def encoder(path: str, leading_space: bool) -> WordEncoder:
+def encoder(path: str) -> WordEncoder:
     """This worker's encoder; it lives as long as the worker."""
-    key = (path, leading_space)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(path, leading_space)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def in_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
