@@ -65,6 +65,13 @@ def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op9_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    kept = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "n_paragraphs", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op10_exact_dedup": op10_exact_dedup,
@@ -73,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_files": op6_token_files,
     "op8_adaptive_scan": op8_adaptive_scan,
+    "op9_paragraph_banding": op9_paragraph_banding,
 }
