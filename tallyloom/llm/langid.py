@@ -187,7 +187,7 @@ class _Scorer:
         found = [words(t) for t in texts]
         if len(self.at) > CACHED_WORDS:
             self.at, self.rows = {}, self.rows[:0]
-        new = list(set().union(*found) - self.at.keys())
+        new = [w for w in set().union(*found) if w not in self.at]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part)), strict=True))

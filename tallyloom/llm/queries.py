@@ -51,6 +51,12 @@ def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preferences import format_preferences, stale_reply_pairs
+
+    return format_preferences(*stale_reply_pairs(_table(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -59,6 +65,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))).withColumnRenamed("id", "doc_id")
 
 
+def op7_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .nbest import n_best
+
+    return n_best(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_search import nearest
 
@@ -78,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_best_fit": op2_vector_best_fit,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_preference_pairs": op5_preference_pairs,
     "op6_token_files": op6_token_files,
+    "op7_nbest_segmentation": op7_nbest_segmentation,
     "op8_adaptive_scan": op8_adaptive_scan,
     "op9_paragraph_banding": op9_paragraph_banding,
 }

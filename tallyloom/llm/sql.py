@@ -26,4 +26,42 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 """
 
-ORACLE = {"op10_exact_dedup": OP10, "op4_minhash_near_dedup": OP4}
+OP5 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM conversations),
+ra AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) AS back
+  FROM t WHERE role = 'assistant'),
+l AS (
+  SELECT conv_id, max(turn) FILTER (WHERE back = 1) AS last_turn, max(text) FILTER (WHERE back = 2) AS stale
+  FROM ra WHERE back <= 2 GROUP BY conv_id HAVING count(*) = 2),
+c AS (
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS c,
+         replace(coalesce(CASE WHEN turn = last_turn AND role = 'assistant' THEN stale ELSE text END, ''), '<|', '<\|') AS r
+  FROM t JOIN l USING (conv_id) WHERE turn <= last_turn),
+x AS (SELECT 'chosen' AS side, conv_id, turn, role, c AS text FROM c UNION ALL SELECT 'rejected', conv_id, turn, role, r FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS k FROM x),
+f AS (
+  SELECT a.conv_id, coalesce(min(a.k) FILTER (WHERE a.role <> b.role OR a.text <> b.text) - 1, max(a.k)) AS n
+  FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.k = b.k AND a.side = 'chosen' AND b.side = 'rejected' GROUP BY a.conv_id),
+s AS (
+  SELECT p.side, p.conv_id, p.k, f.n, p.role, '<|' || p.role || '|>' || chr(10) AS head, p.text || '<|end|>' AS body
+  FROM p JOIN f USING (conv_id)),
+m AS (
+  SELECT *, k <= n AS shared,
+         coalesce(sum(length(head) + length(body) + 1) OVER (
+           PARTITION BY side, conv_id, k <= n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at0
+  FROM s),
+g AS (
+  SELECT conv_id, max(n) AS prompt_turns,
+    coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (WHERE shared AND side = 'chosen'), '') AS prompt,
+    coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (WHERE NOT shared AND side = 'chosen'), '') AS chosen,
+    coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (WHERE NOT shared AND side = 'rejected'), '') AS rejected,
+    coalesce(string_agg((at0 + length(head)) || '-' || (at0 + length(head) + length(body)), ',' ORDER BY k)
+      FILTER (WHERE NOT shared AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg((at0 + length(head)) || '-' || (at0 + length(head) + length(body)), ',' ORDER BY k)
+      FILTER (WHERE NOT shared AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+  FROM m GROUP BY conv_id)
+SELECT conv_id, prompt_turns::INTEGER AS prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask FROM g
+"""
+
+ORACLE = {"op5_preference_pairs": OP5, "op10_exact_dedup": OP10, "op4_minhash_near_dedup": OP4}

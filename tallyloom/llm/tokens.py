@@ -77,7 +77,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
-        new = list(set().union(*(p for p in parts if p)) - self.words.keys())
+        new = [w for w in set().union(*(p for p in parts if p)) if w not in self.words]
         if new:
             self._learn(new)
         get = self.words.__getitem__
