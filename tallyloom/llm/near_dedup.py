@@ -15,7 +15,7 @@ them. Steps:
 4. Whatever passed is verified on the full sets: ``100 * |A & B| >= 75 * |A | B|``.
 5. Connected components of the links, smallest id first.
 
-A pair with similarity 0.75 or more is missed with a chance under 1e-7 (each of the smallest
+A pair with similarity 0.75 or more is missed with a chance of about 1e-6 (each of the smallest
 values of the union lies in both sets with chance 0.75 or more).
 
 Edge cases: null, empty and white-space texts have an empty set and link with nothing; texts with
@@ -38,6 +38,7 @@ from .common import components, dropped, mix64, shingle_set, written
 SKETCH = 128  # values kept per document
 LISTED = 24  # of these, the smallest ones have inverted lists
 SHORT = 64  # longest list whose pairs are joined
+LEAST_LONG = 8  # listed values in long lists that a document needs to be compared there
 BLOCK = 512  # members of a long list that one task compares with one another at a time
 COLUMNS = 2048  # retained values that are compared at a time
 LEAST_ESTIMATE = 0.5  # union-sketch estimate of pairs that are verified
@@ -171,15 +172,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = marked.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
     open_ = written(marked.join(mixed, "v", "left_semi"), "open")
     dropped(listed)
-    dropped(marked)
-    short = open_.where(f"size <= {SHORT}")
-    x, y = (short.select("v", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "comp")]) for k in (1, 2))
+    heavy = marked.where(f"size > {SHORT}").groupBy("id").agg(F.count("*").alias("h"))
+    short = open_.where(f"size <= {SHORT}").join(heavy, "id", "left").fillna(0, ["h"])
+    x, y = (short.select("v", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "comp", "h")]) for k in (1, 2))
     some = (
         x.join(y, "v").where(f"id1 < id2 and comp1 <> comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-        .groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.max(F.greatest("n1", "n2")).alias("n"))
-        .where(f"4 * shared >= least(n, {LISTED})").select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.lit(False).alias("sure"))
+        .groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.max(F.greatest("n1", "n2")).alias("n"), F.max(F.least("h1", "h2")).alias("h"))
+        .where(f"4 * (shared + h) >= least(n, {LISTED})").select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.lit(False).alias("sure"))
     )
-    long = open_.where(f"size > {SHORT}").join(drawn.select("id", "sketch").dropDuplicates(["id"]), "id")
+    # a pair without a common value in short lists has all of its common values in long ones
+    mostly = heavy.join(drawn.select("id", "n").dropDuplicates(["id"]), "id").where(f"h >= CASE WHEN n <= {LISTED} THEN 0.75 * n ELSE {LEAST_LONG} END").select("id")
+    placed = written(open_.where(f"size > {SHORT}").join(mostly, "id", "left_semi").drop("size"), "placed")
+    sizes = placed.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "size")
+    long = placed.join(sizes, "v").join(drawn.select("id", "sketch").dropDuplicates(["id"]), "id")
     more = written(some.unionByName(_long_lists(long, percent)).distinct(), "more")
     checked = verified_links(docs, more.where("not sure").select("a", "b").distinct(), id_col, text_col, words, percent)
     links = first.unionByName(more.where("sure").select("a", "b")).unionByName(checked)
