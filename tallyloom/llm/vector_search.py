@@ -9,8 +9,8 @@ held against the query's current 20th distance, and a hypothesis test with error
 precision on the original vectors.
 
 Equal vectors are one class with its ``top + 1`` smallest ids, found by a salted top-k; equal queries
-are searched once. Lists longer than ``LIST_ROWS`` are cut by a hash of the id, so no list is a task
-by itself, and probes of a list part are dealt out in ``PROBE_ROWS`` likewise.
+are searched once. Lists go to tasks in blocks; blocks longer than ``BLOCK_ROWS`` are cut by a hash of the id, so a
+list that holds a third of all rows is many tasks, and so are ``PROBE_ROWS`` queries of a part.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or candidates; fewer candidates than asked for give all of
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 FIT_ROWS = 16_384  # bound on the sample that centroids are fitted on
-LIST_ROWS = 2_048  # rows of a list part
-PROBE_ROWS = 2_048  # probes of a list part that one task takes
+BLOCK_LISTS = 16  # neighbouring lists that go to one task
+BLOCK_ROWS = 4_096  # rows of a part of such a block
+PROBE_ROWS = 4_096  # queries of such a part that one task takes
 MOST_LISTS = 4_096
 PROBED = 0.5  # share of the lists that a query probes
 LEAST_PROBES = 16  # and so many more
@@ -122,58 +123,74 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
     probed = min(lists, LEAST_PROBES + math.ceil(probed_share * lists))
 
-    def assign(count: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own = np.argsort(-(np.stack(pdf["x"].to_numpy()) @ c.T), axis=1, kind="stable")[:, :count]
-                yield pdf.loc[pdf.index.repeat(count)].assign(list=own.ravel(), place=np.tile(np.arange(count), len(pdf)))
-
-        return run
-
-    placed = written(classes.select("x", F.col("ids")[0].alias("cls")).mapInPandas(assign(1), "x array<double>, cls long, list int, place int").drop("place"), "placed")
+    def own_list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = np.stack(pdf["x"].to_numpy()) @ shared.value.T if len(pdf) else np.empty((0, 1))
+            own = near.argmax(axis=1).astype(np.int32)
+            yield pdf.assign(list=own, block=own // BLOCK_LISTS)
+
+    def own_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each block of lists that holds probed ones; those of the first turn apart."""
+        for pdf in batches:
+            out = []
+            for who, x in zip(pdf["cls"], pdf["x"], strict=True):
+                order = np.argsort(-(shared.value @ x), kind="stable")[:probed].astype(np.int32)
+                for turn, own in ((1, np.sort(order[:FIRST])), (2, np.sort(order[FIRST:]))):
+                    block = own // BLOCK_LISTS
+                    for part in np.split(own, np.flatnonzero(np.diff(block)) + 1) if len(own) else ():
+                        out.append((who, x, turn, int(part[0]) // BLOCK_LISTS, part))
+            yield pd.DataFrame(out, columns=["cls", "x", "turn", "block", "lists"])
+
+    placed = written(classes.select("x", F.col("ids")[0].alias("cls")).mapInPandas(own_list, "x array<double>, cls long, list int, block int"), "placed")
     wanted = classes.select("x", F.col("ids")[0].alias("cls")).join(asked.select("cls").distinct(), "cls", "left_semi").select("x", "cls")
-    probing = written(wanted.mapInPandas(assign(probed), "x array<double>, cls long, list int, place int"), "probing")
-    parts = written(placed.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts")), "parts")  # a row per list
+    probing = written(wanted.mapInPandas(own_probes, "cls long, x array<double>, turn int, block int, lists array<int>"), "probing")
+    parts = written(placed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")), "parts")  # a row per block of lists
 
     def search(key: tuple, have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(have) and len(ask):
             x, v = np.stack(have["x"].to_numpy()), np.stack(ask["x"].to_numpy())
-            names, turn = have["cls"].to_numpy(), _rotation(x.shape[1] + 1)
+            names, turn, lists = have["cls"].to_numpy(), _rotation(x.shape[1] + 1), have["list"].to_numpy()
             more = np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))
             rotated = np.concatenate((x, more[:, None]), axis=1) @ turn
             turned = np.concatenate((v, np.zeros((len(v), 1))), axis=1) @ turn
             limits = (v * v).sum(axis=1) + most - 2 * ask["least"].to_numpy(np.float64)
-            for k in range(0, len(v), 256):
-                q, r = _scan(rotated, turned[k : k + 256], limits[k : k + 256])
-                q = q + k
+            base = int(key[0]) * BLOCK_LISTS
+            asks = np.zeros((len(v), BLOCK_LISTS), bool)
+            asks[np.repeat(np.arange(len(v)), [len(r) for r in ask["lists"]]), np.concatenate(ask["lists"].to_numpy()) - base] = True
+            q_all, r_all = [], []
+            for k in range(BLOCK_LISTS):
+                rows, queries = np.flatnonzero(lists == base + k), np.flatnonzero(asks[:, k])
+                for at in range(0, len(queries), 256):
+                    some = queries[at : at + 256]
+                    q, r = _scan(rotated[rows], turned[some], limits[some])
+                    q_all.append(some[q])
+                    r_all.append(rows[r])
+            if q_all:
+                q, r = np.concatenate(q_all), np.concatenate(r_all)
                 score = np.einsum("ij,ij->i", x[r], v[q])
                 order = np.lexsort((names[r], -score, q))
                 q, r, score = q[order], r[order], score[order]
                 begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
-                place = np.arange(len(q)) - np.repeat(begin, np.diff([*begin, len(q)]))
-                keep = place <= top
+                keep = np.arange(len(q)) - np.repeat(begin, np.diff([*begin, len(q)])) <= top
                 out.append(pd.DataFrame({"asked": ask["cls"].to_numpy()[q[keep]], "cls": names[r[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"asked": [], "cls": [], "score": []}).astype({"asked": "int64", "cls": "int64", "score": "float64"})
 
     def searched(probes: DataFrame) -> DataFrame:
-        sides = probes.groupBy("list").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("sides"))
-        grid = F.broadcast(parts.join(sides, "list"))  # a row per list, at most MOST_LISTS
-        left = placed.join(grid, "list").select(
-            "list", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "cls", "x"
+        sides = probes.groupBy("block").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("sides"))
+        grid = F.broadcast(parts.join(sides, "block"))  # a row per block of lists, at most MOST_LISTS
+        left = placed.join(grid, "block").select(
+            "block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "list", "cls", "x"
         )
-        right = probes.join(grid, "list").select(
-            "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("cls"), F.col("sides")).cast("int").alias("side"), "cls", "x", "least"
+        right = probes.join(grid, "block").select(
+            "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("cls"), F.col("sides")).cast("int").alias("side"), "cls", "x", "lists", "least"
         )
-        return left.groupBy("list", "part", "side").cogroup(right.groupBy("list", "part", "side")).applyInPandas(search, "asked long, cls long, score double")
+        return left.groupBy("block", "part", "side").cogroup(right.groupBy("block", "part", "side")).applyInPandas(search, "asked long, cls long, score double")
 
-    nearby = written(searched(probing.where(f"place < {FIRST}").withColumn("least", F.lit(-float("inf")))), "nearby")
+    nearby = written(searched(probing.where("turn = 1").withColumn("least", F.lit(-float("inf")))), "nearby")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "cls"))
     least = nearby.withColumn("rank", rank).where(f"rank = {top + 1}").select(F.col("asked").alias("cls"), F.col("score").alias("least"))
-    rest = probing.where(f"place >= {FIRST}").join(least, "cls", "left").fillna(-float("inf"), ["least"])
+    rest = probing.where("turn = 2").join(least, "cls", "left").fillna(-float("inf"), ["least"])
     found = nearby.unionByName(searched(rest))
     few = found.withColumn("rank", rank).where(f"rank <= {top + 1}").drop("rank")
     few = few.join(classes.select(F.col("ids")[0].alias("cls"), "ids"), "cls").select("asked", "score", F.explode("ids").alias("vec_id"))
