@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHED_WORDS = 800_000  # per worker; later words are encoded each time they come
+CACHED_WORDS = 1_200_000  # per worker; later words are encoded each time they come
 LONG_WORD = 64  # longer words are not kept
 CHARS_AT_ONCE = 4_000_000
 
@@ -76,13 +76,26 @@ class WordEncoder:
         return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._parts(t) for t in texts]
-        new = [w for w in set().union(*(p for p in parts if p)) if w not in self.words]
+        out: list[bytes] = [b""] * len(texts)
+        get, whole, open_, new = self.words.get, [], [], set()
+        for k, text in enumerate(texts):
+            parts = self._parts(text)
+            if parts is None:
+                whole.append(k)
+                continue
+            ids = list(map(get, parts))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            if missing:
+                open_.append((k, parts, ids, missing))
+                new.update(map(parts.__getitem__, missing))
+            else:
+                out[k] = b"".join(ids)
         if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, p)) if p else b"" for p in parts]
-        whole = [k for k, p in enumerate(parts) if p is None]
+            self._learn(list(new))
+        for k, parts, ids, missing in open_:
+            for i in missing:
+                ids[i] = self.words[parts[i]]
+            out[k] = b"".join(ids)
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
         full = len(self.words) > CACHED_WORDS
