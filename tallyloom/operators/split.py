@@ -126,8 +126,9 @@ def solve_full(credits: DataFrame, settlements: DataFrame, config: ReconConfig =
     """
     own = islands(credits, settlements, config, cut_by)
     key = ["currency", *cut_by]
-    left = credits.withColumn("day", F.col("credited_at")).join(own, [*key, "day"])
-    right = settlements.withColumn("day", F.col("settled_at")).join(own, [*key, "day"])
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of its own for either side
+    left = fresh(credits.withColumn("day", F.col("credited_at")).join(own, [*key, "day"]))
+    right = fresh(settlements.withColumn("day", F.col("settled_at")).join(own, [*key, "day"]))
 
     def solve(bank: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         have, free, out = have.sort_values("seq"), np.ones(len(have), bool), []
