@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,19 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def nullable(pdf: pd.DataFrame, kinds: dict[str, str]) -> pd.DataFrame:
+    """Whole-number columns that pandas reads as floats, because they hold nulls, as nullable integers."""
+    own = [c for c in pdf.columns if kinds.get(c) in ("bigint", "int", "smallint", "tinyint") and pdf[c].dtype.kind == "f"]
+    return pdf.astype(dict.fromkeys(own, "Int64")) if own else pdf
+
+
+def ids(column: pd.Series) -> list:
+    """Ids as Python values, null as None."""
+    if column.dtype.kind == "f":
+        return [None if x != x else int(x) for x in column]
+    return column.tolist()
+
+
 # ---------------------------------------------------------------- words and shingles
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -36,9 +36,11 @@ def _runs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(h: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
     """The filter's blocks: occupied quotients, their run lengths, sorted remainders, counts."""
+    if not len(h):
+        return []
     out = []
     block = h >> np.uint64(64 - BLOCK_BITS)
-    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(h) else []
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     for i, j in zip(edges, [*edges[1:], len(h)], strict=True):
         quotient = (h[i:j] >> np.uint64(64 - QUOTIENT_BITS)).astype("<u4")
         occupied, lengths = np.unique(quotient, return_counts=True)
@@ -60,10 +62,14 @@ def partition_filters(fingerprints: DataFrame, column: str = "fp") -> DataFrame:
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size = [], 0
         for pdf in batches:
-            more = pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
-            h, n = _runs(np.concatenate((h, more)), np.concatenate((n, np.ones(len(more), np.int64))))
-        yield pd.DataFrame(_pack(h, n), columns=["block", "occupied", "lengths", "remainders", "counts"])
+            held.append(pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64))
+            size += len(held[-1])
+            if size > max(len(h), 1 << 20):  # sorting in when the filter doubles keeps the cost near one sort
+                h, n = _runs(np.concatenate((h, *held)), np.concatenate((n, np.ones(size, np.int64))))
+                held, size = [], 0
+        yield pd.DataFrame(_pack(*_runs(np.concatenate((h, *held)), np.concatenate((n, np.ones(size, np.int64))))), columns=["block", "occupied", "lengths", "remainders", "counts"])
 
     return fingerprints.select(column).mapInPandas(build, _FILTER)
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, nullable, written
 from .tokens import in_slices
 
 SAMPLE_DOCS = 20_000  # bound on the labelled rows that are used for fitting
@@ -210,6 +210,7 @@ _scorers: dict[int, _Scorer] = {}
 def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; only the text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = dict(docs.dtypes)
     key = hash((model.languages, model.prob.tobytes()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +219,7 @@ def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
             _scorers[key] = _Scorer(shared.value)
         for pdf in batches:
             found = [x for _, texts in in_slices(pdf[text_col].tolist()) for x in _scorers[key](texts)]
-            yield pdf.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
+            yield nullable(pdf, kinds).assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInPandas(score, f"{schema}, lang_pred string, score double")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ids as ids_of
+from .common import nullable
 from .tokens import encoder, in_slices
 
 GROUP = 32_768
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int, id_
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = np.asarray([end_id], "<u4").tobytes()
         for pdf in batches:
-            names = pdf["id"].tolist()
+            names = ids_of(pdf["id"])
             for first, texts in in_slices(pdf["text"].tolist()):
                 rows = []
                 for k, ids in enumerate(encoder(tokenizer).encode(texts), first):
@@ -61,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int, id_
                     cut = [0, *range(n % longest or longest, n + 1, longest)]
                     view = memoryview(ids)
                     rows += [(names[k], p, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": object})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
         build, f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
@@ -112,8 +114,9 @@ def packed(cut: DataFrame, capacity: Capacity, groups: int) -> DataFrame:
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         where, offset, _ = best_fit(pdf["length"].to_numpy(), capacity)
-        return pdf.drop(columns="part").assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
+        return nullable(pdf.drop(columns="part"), kinds).assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
+    kinds = dict(cut.dtypes)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     return cut.withColumn("part", F.pmod(F.xxhash64(*cut.columns), F.lit(groups))).groupBy("part").applyInPandas(pack, schema)
 

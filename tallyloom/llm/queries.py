@@ -83,7 +83,7 @@ def op9_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import without_repeats
 
     kept = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "text", "n_paragraphs", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"))
+    return kept.select("doc_id", "text", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
