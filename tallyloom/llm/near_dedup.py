@@ -1,17 +1,17 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's set holds the 64-bit hashes of its 5-word shingles; its sketch is the k smallest of
-them. Steps:
+A document's set holds the 64-bit hashes of its 5-word shingles; its sketch is the ``LISTED``
+smallest of them. Steps:
 
 1. Documents with equal sets (128-bit set digest and size) form one class; only its smallest id,
    the representative, goes on. A group of copies of any size costs one row.
-2. Inverted lists of the ``LISTED`` smallest retained values. First every member of a list is held
+2. Inverted lists of the retained values. First every member of a list is held
    against the list's leaders only; most near copies join a component there, so their group never
    has its pairs enumerated.
 3. Lists that still hold several components give the remaining pairs. Short lists are joined, and
    a pair must share enough of the retained values (the union-sketch estimate). Long lists are cut
-   into blocks and compared inside the tasks, where only pairs that may link leave: sets no larger
-   than the sketch are decided exactly, others by the union-sketch estimate.
+   into blocks and compared inside the tasks, where only pairs that may link leave: sets of up to
+   ``LONG_SKETCH`` values are decided exactly, others by a larger union-sketch estimate.
 4. Whatever passed is verified on the full sets: ``100 * |A & B| >= 75 * |A | B|``.
 5. Connected components of the links, smallest id first.
 
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import components, dropped, mix64, shingle_set, written
 
-SKETCH = 128  # values kept per document
-LISTED = 24  # of these, the smallest ones have inverted lists
+LISTED = 24  # values kept per document, all with inverted lists
+LONG_SKETCH = 2048  # values kept of documents that are compared in long lists
 SHORT = 64  # longest list whose pairs are joined
 LEAST_LONG = 8  # listed values in long lists that a document needs to be compared there
 BLOCK = 512  # members of a long list that one task compares with one another at a time
@@ -45,21 +45,32 @@ LEAST_ESTIMATE = 0.5  # union-sketch estimate of pairs that are verified
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, n, f1, f2, low, sketch): set size, set digest, the listed values, the packed sketch."""
+    """(id, n, f1, f2, low): set size, set digest and the bottom-k sketch."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
                 s = shingle_set(text, words)
-                rows.append((i, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)), s[:LISTED].view(np.int64), s[:SKETCH].tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "n", "f1", "f2", "low", "sketch"])
+                rows.append((i, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)), s[:LISTED].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "n", "f1", "f2", "low"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").mapInPandas(
-        build, "id long, n long, f1 long, f2 long, low array<long>, sketch binary"
+        build, "id long, n long, f1 long, f2 long, low array<long>"
     )
 
 
+def _long_sketches(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, sketch): the ``LONG_SKETCH`` smallest values of some documents, packed."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "sketch": [shingle_set(t, words)[:LONG_SKETCH].tobytes() for t in pdf["text"]]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(ids, "id", "left_semi").mapInPandas(build, "id long, sketch binary").dropDuplicates(["id"])
+
+
 def verified_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
 
@@ -115,25 +126,34 @@ def _long_lists(members: DataFrame, percent: int) -> DataFrame:
                 shared += grids[0] @ grids[1].T
             shared = np.rint(shared).astype(np.int64)
             na, nb = (s["n"].to_numpy()[:, None] if k == 0 else s["n"].to_numpy()[None, :] for k, s in enumerate((left, right)))
-            whole = (na <= SKETCH) & (nb <= SKETCH)
-            sure = whole & (100 * shared >= percent * (na + nb - shared))
-            fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-            fits &= left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :] if key[1] == key[2] else True
-            may = ~whole & (shared >= LEAST_ESTIMATE * np.minimum(SKETCH, np.minimum(na, nb)))
-            taken = set()
-            for i, j in np.argwhere(fits & sure):
-                pair = (left["comp"][i], right["comp"][j])
-                if pair not in taken:  # one sure link between two components is as good as all
-                    taken.add(pair)
-                    out.append((left["id"][i], right["id"][j], True))
-            for i, j in np.argwhere(fits & may):
-                if (left["comp"][i], right["comp"][j]) in taken:
-                    continue
+            whole = (na <= LONG_SKETCH) & (nb <= LONG_SKETCH)
+            one = key[1] == key[2]
+            x, y, p, q = (side[c].to_numpy() for c in ("id", "comp") for side in (left, right))
+            fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (p[:, None] != q[None, :])
+            sure = fits & whole & (100 * shared >= percent * (na + nb - shared))
+            # the smallest component spreads along sure links; the link by which it comes is enough
+            lp = p.copy()
+            lq = lp if one else q.copy()
+            moved = True
+            while moved:
+                moved = False
+                for links, mine, other, here, there in ((sure, lp, lq, x, y), (sure.T, lq, lp, y, x)):
+                    offered = np.where(links, other[None, :], np.iinfo(np.int64).max)
+                    at = offered.argmin(axis=1)
+                    least = offered[np.arange(len(mine)), at]
+                    for i in np.flatnonzero(least < mine):
+                        out.append((min(here[i], there[at[i]]), max(here[i], there[at[i]]), True))
+                        moved = True
+                    np.minimum(mine, least, out=mine)
+            may = fits & ~whole & (shared >= LEAST_ESTIMATE * np.minimum(LONG_SKETCH, np.minimum(na, nb))) & (lp[:, None] != lq[None, :])
+            if one:
+                may &= x[:, None] < y[None, :]
+            for i, j in np.argwhere(may):
                 a, b = sets[0][i], sets[1][j]
-                k = min(SKETCH, len(a), len(b))
+                k = min(LONG_SKETCH, len(a), len(b))
                 least = np.union1d(a, b)[:k]
                 if len(np.intersect1d(np.intersect1d(a, b, True), least, True)) >= LEAST_ESTIMATE * k:
-                    out.append((left["id"][i], right["id"][j], False))
+                    out.append((min(x[i], y[j]), max(x[i], y[j]), False))
         return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -184,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mostly = heavy.join(drawn.select("id", "n").dropDuplicates(["id"]), "id").where(f"h >= CASE WHEN n <= {LISTED} THEN 0.75 * n ELSE {LEAST_LONG} END").select("id")
     placed = written(open_.where(f"size > {SHORT}").join(mostly, "id", "left_semi").drop("size"), "placed")
     sizes = placed.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "size")
-    long = placed.join(sizes, "v").join(drawn.select("id", "sketch").dropDuplicates(["id"]), "id")
+    long = placed.join(sizes, "v").join(written(_long_sketches(docs, placed.select("id").distinct(), id_col, text_col, words), "long-sketches"), "id")
     more = written(some.unionByName(_long_lists(long, percent)).distinct(), "more")
     checked = verified_links(docs, more.where("not sure").select("a", "b").distinct(), id_col, text_col, words, percent)
     links = first.unionByName(more.where("sure").select("a", "b")).unionByName(checked)
