@@ -1,24 +1,29 @@
-"""Repeated passages across documents by paragraph MinHash banding.
-
-Paragraphs here are the smallest parts that repeat as one: a text is cut after line breaks and
-sentence ends, and parts over ``LONG`` words are cut further at words picked by their hash, so the
-same passage is cut alike wherever it stands. A paragraph has a digest of its words (a
-short one of the last ``LEAST_WORDS`` words up to its end); those of ``BANDED_WORDS`` or more also have MinHash values over 5-word shingles, banded as
-``BANDS`` bands of ``ROWS`` value: at similarity 0.75 a pair meets in some band with chance
-1 - 0.25**4 = 0.996.
-
-1. Counting quotient filters (see exact_dedup) of digests and of band keys find those that occur
-   more than once; only these paragraphs go on.
-2. Colliding paragraphs of different digest are joined with the first of their band and verified by
+"""Repeated passages across documents by paragraph MinHash banding and word-by-word extension.
+
+All cut places depend on the words around them only, so a passage is cut alike wherever it stands.
+Paragraphs are parts of a text between line breaks, sentence ends and, more than ``WIDE_MARGIN`` words
+from these, words that hold the smallest 5-word hash of some ``WIDE`` words. Those of ``BANDED_WORDS``
+or more have MinHash values over 5-word shingles, banded as ``BANDS`` bands of ``ROWS`` value: at
+similarity 0.75 a pair meets in some band with chance 1 - 0.25**4 = 0.996. Anchors are the last
+``LEAST_WORDS`` to ``ANCHOR_WORDS`` words before a finer cut (``FINE``, ``FINE_MARGIN``). Any passage of
+30 words or more holds a whole anchor.
+
+1. Counting quotient filters (see exact_dedup) of anchors and of band keys find those that occur
+   more than once; only these go on.
+2. An anchor is held against the first place (smallest document id, then place) that has the same
+   anchor, and the first that also has the same ``NEAR`` words after it, or before it; the match is
+   extended word by word to both sides, at most ``REACH`` words, which reaches the next anchor.
+3. Colliding paragraphs of different digest are joined with the first of their band and verified by
    exact Jaccard similarity of their shingle sets.
-3. Connected components of the links cluster digests. The first occurrence of a cluster (smallest
-   document id, then place) stays, if the cluster occurs in several documents.
-4. Each document loses its runs of neighbouring repeated paragraphs that hold ``RUN_WORDS`` words or
-   more together; shorter repeats (headings, stock phrases) stay.
+4. Connected components of the links cluster digests; the first paragraph of a cluster stays. Of the
+   others, the words from the first to the last shingle that it has count as repeated.
+5. Each document loses its runs of repeated words that hold ``RUN_WORDS`` words or more together;
+   shorter repeats (headings, stock phrases) stay. Fewer than ``LEAST_WORDS`` words between two
+   repeats do not end a run.
 
 Edge cases: null texts count as empty and stay null; white-space texts have no paragraphs; repeats
 within one document alone stay; rows that repeat an id are places of one document and lose the same
-paragraphs; null ids are read but never lose text; an empty table gives an empty result; further
+words; null ids are read but never lose text; an empty table gives an empty result; further
 columns are kept as they are.
 """
 
@@ -35,7 +40,10 @@ from .common import _LOWER, _power, components, mix64, nullable, span_hashes, wr
 from .exact_dedup import merged_filter, partition_filters
 
 LEAST_WORDS = 5
-LONG = 20
+ANCHOR_WORDS = 8
+FINE, FINE_MARGIN = 12, 4
+WIDE, WIDE_MARGIN = 32, 20
+NEAR, REACH = 12, 24
 BANDED_WORDS = 16
 BANDS, ROWS = 4, 1
 RUN_WORDS = 30
@@ -48,8 +56,20 @@ _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
+def _picked(h: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the (first) smallest value of some ``width`` neighbouring ones."""
+    if len(h) < width:
+        return np.empty(0, np.int64)
+    at, span = np.arange(len(h)), 1
+    while span < width:
+        step = min(span, width - span)
+        at = np.where(h[at[step:]] < h[at[:-step]], at[step:], at[:-step])
+        span += step
+    return np.unique(at)
+
+
 class Paragraphs:
-    """A text's paragraphs: byte spans, words and hashes, all as arrays."""
+    """A text's paragraphs and anchors: byte spans, words and hashes, all as arrays."""
 
     def __init__(self, text: str | None):
         self.data = (text or "").encode("utf-8", "replace")
@@ -59,36 +79,56 @@ class Paragraphs:
         begin, end = edge[::2], edge[1::2]
         self.n_words = len(begin)
         if not self.n_words:
-            self.first = self.last = self.begin = self.end = self.words = np.empty(0, np.int64)
+            self.first = self.last = self.begin = self.end = self.words = self.anchor = self.anchor_first = np.empty(0, np.int64)
             return
         self.word = span_hashes(self.data.translate(_LOWER), begin, end)
         lines = np.concatenate(([0], np.cumsum(a == 10)))
         after = _STOP[a[end - 1]]
         after[:-1] |= lines[begin[1:]] != lines[end[:-1]]
         after[-1] = True
-        last = np.flatnonzero(after)
-        size = np.diff(last, prepend=-1)
-        after |= (np.repeat(size, size) > LONG) & (self.word % np.uint64(8) == 0)
-        self.last = np.flatnonzero(after)  # word positions
+        stops = np.flatnonzero(after)
+        up, down = _power(self.n_words + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * up[: self.n_words])))
+        self.begin, self.end = begin, end  # bytes of words
+        grams, seen = self.shingles()[: max(0, self.n_words - 4)], np.concatenate(([0], np.cumsum(after)))
+
+        def cuts(width: int, margin: int) -> np.ndarray:
+            own = _picked(grams, width) + 4
+            alone = seen[np.minimum(own + margin + 1, self.n_words)] == seen[np.maximum(own - margin, 0)]
+            return np.union1d(stops, own[alone])
+
+        self.last = cuts(WIDE, WIDE_MARGIN)  # word positions
         self.first = np.concatenate(([0], self.last[:-1] + 1))
-        self.begin, self.end = begin[self.first], end[self.last]
         self.words = self.last - self.first + 1
+        self.anchor = cuts(FINE, FINE_MARGIN)
+        self.anchor = self.anchor[self.anchor >= LEAST_WORDS - 1]
+        before = np.concatenate(([-1], stops))[np.searchsorted(stops, self.anchor)] + 1  # the sentence's first word
+        self.anchor_first = np.maximum(0, np.minimum(np.maximum(before, self.anchor - ANCHOR_WORDS + 1), self.anchor - LEAST_WORDS + 1))
+
+    def _digest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if not len(first):
+            return np.empty(0, np.uint64)
+        return mix64((self.sums[last + 1] - self.sums[first]) * _power(self.n_words + 1)[1][first] + (last + 1 - first).astype(np.uint64))
+
+    def anchors(self) -> np.ndarray:
+        """Of the words of each anchor."""
+        return self._digest(self.anchor_first, self.anchor)
 
     def digests(self) -> np.ndarray:
         """Of each paragraph's words; a short paragraph is known by the last ``LEAST_WORDS`` words up to its end."""
-        up, down = _power(self.n_words + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * up[: self.n_words])))
-        first = np.maximum(0, np.minimum(self.first, self.last - LEAST_WORDS + 1))
-        return mix64((sums[self.last + 1] - sums[first]) * down[first] + (self.last + 1 - first).astype(np.uint64))
+        return self._digest(np.maximum(0, np.minimum(self.first, self.last - LEAST_WORDS + 1)), self.last)
 
     def shingles(self) -> np.ndarray:
         """Per word the hash of the five words from it on."""
+        if hasattr(self, "_shingles"):
+            return self._shingles
         w = self.word
         out = np.zeros(len(w), np.uint64)
         if len(w) >= 5:
             n = len(w) - 4
             for k in range(5):
                 out[:n] = mix64(out[:n] + w[k : k + n] + np.uint64(k))
+        self._shingles = out
         return out
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +148,24 @@ class Paragraphs:
         return np.tile(own, BANDS), np.concatenate(found)
 
     def shingle_set(self, k: int) -> np.ndarray:
-        return np.unique(self.shingles()[self.first[k] : max(self.first[k] + 1, self.last[k] - 3)])
+        return np.unique(self.shingle_row(k))
+
+    def shingle_row(self, k: int) -> np.ndarray:
+        return self.shingles()[self.first[k] : max(self.first[k] + 1, self.last[k] - 3)]
 
 
 def _rows(text: str | None) -> tuple[np.ndarray, ...] | None:
-    """(key, fp, place, words, banded) of a text's paragraphs: one row by digest, one for each band."""
+    """(key, fp, place, banded): one row for each anchor (its last word), one for each band of a paragraph."""
     p = Paragraphs(text)
-    k = np.flatnonzero(p.last >= LEAST_WORDS - 1)
-    if not len(k):
+    if not len(p.anchor):
         return None
-    fp, (own, key) = p.digests(), p.keys()
-    place = np.concatenate((k, own))
-    return np.concatenate((fp[k], key)).view(np.int64), fp[place].view(np.int64), place, p.words[place], np.arange(len(place)) >= len(k)
+    (own, band), key = p.keys(), p.anchors()
+    fp = np.concatenate((key, p.digests()[own]))
+    return np.concatenate((key, band)).view(np.int64), fp.view(np.int64), np.concatenate((p.anchor, own)), np.arange(len(fp)) >= len(key)
 
 
 def _paragraph_keys(docs: DataFrame) -> DataFrame:
-    """(key): digests and band keys of all paragraphs."""
+    """(key): anchors and band keys of all paragraphs."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -135,29 +177,38 @@ def _paragraph_keys(docs: DataFrame) -> DataFrame:
 
 
 def _paragraph_rows(docs: DataFrame) -> DataFrame:
-    """(key, fp, id, place, words, banded) of all paragraphs."""
+    """(key, fp, id, place, banded) of all anchors and banded paragraphs."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, r) for i, r in zip(pdf["id"], map(_rows, pdf["text"]), strict=True) if r]
             if rows:
-                key, fp, place, words, banded = (np.concatenate(x) for x in zip(*(r for _, r in rows), strict=True))
+                key, fp, place, banded = (np.concatenate(x) for x in zip(*(r for _, r in rows), strict=True))
                 doc = np.repeat([i for i, _ in rows], [len(r[0]) for _, r in rows])
-                yield pd.DataFrame({"key": key, "fp": fp, "id": doc, "place": place, "words": words, "banded": banded})
+                yield pd.DataFrame({"key": key, "fp": fp, "id": doc, "place": place, "banded": banded})
 
-    return docs.mapInPandas(build, "key long, fp long, id long, place int, words int, banded boolean")
+    return docs.mapInPandas(build, "key long, fp long, id long, place int, banded boolean")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests whose paragraphs' shingle sets reach the similarity."""
+def _shingle_sets(docs: DataFrame, fps: DataFrame, places: DataFrame) -> DataFrame:
+    """(fp, n, items, row): the shingle sets of some digests' paragraphs, and the shingles in their order."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
                 p = Paragraphs(text)
-                out += [(w["fp"], p.shingle_set(w["place"]).tobytes()) for w in wanted]
-            yield pd.DataFrame(out, columns=["fp", "items"])
+                found = [(w["fp"], p.shingle_set(w["place"]), p.shingle_row(w["place"])) for w in wanted if w["place"] < len(p.words)]
+                out += [(fp, len(s), s.tobytes(), row.tobytes()) for fp, s, row in found]
+            yield pd.DataFrame(out, columns=["fp", "n", "items", "row"])
+
+    one = places.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "place")).alias("at"))
+    wanted = one.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("fp", F.col("at.place").alias("place"))).alias("wanted"))
+    return written(docs.dropDuplicates(["id"]).join(wanted, "id").mapInPandas(sets, "fp long, n long, items binary, row binary"), "paragraph-sets")
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests whose paragraphs' shingle sets reach the similarity."""
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -168,37 +219,104 @@ def _verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame
                 keep.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
             yield pdf.loc[np.asarray(keep, bool), ["a", "b"]]
 
-    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    one = places.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "place")).alias("at"))
-    wanted = one.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("fp", F.col("at.place").alias("place"))).alias("wanted"))
-    found = written(docs.dropDuplicates(["id"]).join(wanted, "id").mapInPandas(sets, "fp long, items binary"), "paragraph-sets")
-    return (
-        pairs.join(found.withColumnsRenamed({"fp": "a", "items": "x"}), "a").join(found.withColumnsRenamed({"fp": "b", "items": "y"}), "b")
-        .mapInPandas(linked, "a long, b long")
+    x, y = (found.select(F.col("fp").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInPandas(linked, "a long, b long")
+
+
+def _near_paragraphs(docs: DataFrame, banded: DataFrame) -> DataFrame:
+    """(id, place, start, stop): paragraphs that are similar to an earlier one of another document or place.
+
+    Words of the paragraph before start, or from stop on, are not in the one that stays.
+    """
+
+    def trimmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for fp, kept, row, items in zip(pdf["fp"], pdf["kept"], pdf["row"], pdf["items"], strict=True):
+                own = np.flatnonzero(np.isin(np.frombuffer(row, np.uint64), np.frombuffer(items, np.uint64)))
+                if len(own):
+                    out.append((fp, kept, int(own[0]), int(own[-1]) + 5))
+            yield pd.DataFrame(out, columns=["fp", "kept", "start", "stop"])
+
+    shared = banded.select("key", "fp").distinct()
+    lead = shared.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("z")).where("b < z")
+    open_ = written(shared.join(lead, "key"), "bands")
+    pairs = open_.where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    places = written(banded.select("fp", "id", "place").join(open_.select("fp").distinct(), "fp", "left_semi").distinct(), "places")
+    sets = _shingle_sets(docs, open_.select("fp").distinct(), places)
+    first = written(_verified(pairs, sets), "links")
+    links = first
+    grouped = places.join(written(components(links), "clusters").withColumnsRenamed({"node": "fp", "component": "cluster"}), "fp")
+    kept = grouped.groupBy("cluster").agg(F.min(F.struct("id", "place", "fp")).alias("first"), F.max("id").alias("other")).where("first.id < other")
+    gone = written(grouped.join(kept, "cluster").where("id <> first.id or place <> first.place").select("id", "place", "fp", F.col("first.fp").alias("kept")), "near")
+    ranges = (
+        gone.select("fp", "kept").distinct().join(sets.select("fp", "row"), "fp").join(sets.select(F.col("fp").alias("kept"), "items"), "kept")
+        .mapInPandas(trimmed, "fp long, kept long, start int, stop int")
     )
+    return gone.join(ranges, ["fp", "kept"]).select("id", "place", "start", "stop")
+
+
+def _contexts(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(key, id, at, size, left, right): the words (32 bits of their hashes) before and after anchors, nearest first."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, text, wanted in zip(pdf["id"], pdf["text"], pdf["wanted"], strict=True):
+                p = Paragraphs(text)
+                w = (p.word >> np.uint64(32)).astype("<u4") if p.n_words else np.empty(0, "<u4")
+                own = np.isin(p.anchor, np.asarray(wanted, np.int64))
+                for key, a, b in zip(p.anchors()[own].view(np.int64).tolist(), p.anchor_first[own].tolist(), p.anchor[own].tolist(), strict=True):
+                    out.append((key, i, b, b - a + 1, w[max(0, a - REACH) : a][::-1].tobytes(), w[b + 1 : b + 1 + REACH].tobytes()))
+            yield pd.DataFrame(out, columns=["key", "id", "at", "size", "left", "right"])
+
+    wanted = anchors.groupBy("id").agg(F.collect_set("place").alias("wanted"))
+    return docs.dropDuplicates(["id"]).join(wanted, "id").mapInPandas(build, "key long, id long, at int, size int, left binary, right binary")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, place, words, cluster): paragraphs that repeat an earlier one of another document or place."""
+def _same(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many words agree from the start on."""
+    size = 4 * REACH
+    a, b = (np.frombuffer(b"".join(v.ljust(size, b"\0") for v in side), "<u4").reshape(-1, REACH) for side in (x, y))
+    most = np.array([min(len(v), len(w)) // 4 for v, w in zip(x, y, strict=True)], np.int64)
+    agree = (a == b) & (np.arange(REACH) < most[:, None])
+    return np.where(agree.all(axis=1), REACH, agree.argmin(axis=1))
+
+
+def _repeated_words(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, start, stop): words that repeat those at an earlier place."""
+
+    def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                left, right = (_same(pdf[c].tolist(), pdf[f"f_{c}"].tolist()) for c in ("left", "right"))
+                start = pdf["at"] + 1 - pdf["size"] - left
+                own = pdf["id"] == pdf["f_id"]  # within one document the earlier place itself stays
+                start = np.where(own, np.maximum(start, pdf["f_at"] + 1), start)
+                yield pd.DataFrame({"id": pdf["id"], "start": start, "stop": pdf["at"] + 1 + right})
+
+    found = written(_contexts(docs, anchors), "contexts")
+    near = [F.xxhash64("key", F.lit(k), F.substring(c, 1, 4 * NEAR)) for k, c in enumerate(("left", "right"))]
+    keys = found.select(F.explode(F.array("key", *near)).alias("c"), "id", "at")
+    first = keys.groupBy("c").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("other")).where("f.id < other")
+    pairs = keys.join(first, "c").where("id <> f.id or at <> f.at").select("id", "at", F.col("f.id").alias("f_id"), F.col("f.at").alias("f_at")).distinct()
+    kept = found.select(*[F.col(c).alias(f"f_{c}") for c in ("id", "at", "left", "right")])
+    both = pairs.join(found, ["id", "at"]).join(kept, ["f_id", "f_at"])
+    return both.mapInPandas(extended, "id long, start int, stop int")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, stop, place): words of a text (place -1), or of its paragraph ``place``, that repeat an earlier place of another document."""
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     often = merged_filter(partition_filters(_paragraph_keys(read), "key")).select(F.col("fp").alias("key"))
     found = written(_paragraph_rows(read).join(often, "key", "left_semi"), "paragraphs")
-    shared = found.where("banded").select("key", "fp").distinct()
-    lead = shared.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("z")).where("b < z")
-    pairs = written(shared.join(lead, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "pairs")
-    near = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    columns = ["fp", "id", "place", "words"]
-    alone = found.where("banded").select(*columns).join(near, "fp", "left_semi").distinct()
-    places = written(found.where("not banded").select(*columns).union(alone).distinct(), "places")
-    cluster = written(components(written(_verified(read, pairs, places), "links")), "clusters")
-    grouped = places.join(cluster.withColumnsRenamed({"node": "fp", "component": "cluster"}), "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp"))
-    first = grouped.groupBy("cluster").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("other")).where("first.id < other")
-    return grouped.join(first, "cluster").where("id <> first.id or place <> first.place").select("id", "place", "words", "cluster")
+    spans = _repeated_words(read, found.where("not banded"))
+    return spans.withColumn("place", F.lit(-1)).unionByName(_near_paragraphs(read, found.where("banded")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with the text shortened, n_removed (paragraphs) and the removed byte spans."""
-    marks = repeated_paragraphs(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_list("place").alias("_places"))
+    """``docs`` with the text shortened, n_removed (paragraphs that lose words) and the removed byte spans."""
+    marks = repeated_spans(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "stop", "place")).alias("_places"))
     names, kinds = docs.columns, dict(docs.dtypes)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +327,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 runs = repeated_runs(p, places, run_words) if p else []
                 cut = [(int(p.begin[i]), int(p.end[j])) for i, j in runs]
                 texts.append(shortened(p.data, cut) if cut else text)
-                gone.append(sum(j - i + 1 for i, j in runs))
+                gone.append(sum(int(np.searchsorted(p.last, j) - np.searchsorted(p.last, i)) + 1 for i, j in runs))
                 spans.append([{"start": a, "end": b} for a, b in cut])
             yield nullable(pdf[names], kinds).assign(**{text_col: texts}, n_removed=gone, removed=spans)
 
@@ -220,23 +338,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def repeated_runs(p: Paragraphs, places: list[int], run_words: int) -> list[tuple[int, int]]:
-    """(first, last) paragraphs of runs that go: marked ones, and short ones between them."""
-    marked = np.zeros(len(p.words), bool)
-    marked[np.asarray(places, np.int64)] = True
-    runs, k = [], 0
-    order = np.flatnonzero(marked)
-    while k < len(order):
-        i = j = int(order[k])
-        total = int(p.words[i])
-        while k + 1 < len(order) and (p.words[j + 1 : order[k + 1]] < LEAST_WORDS).all():
-            k += 1
-            j = int(order[k])
-            total += int(p.words[j])
-        k += 1
-        if total >= run_words:
-            runs.append((i, j))
-    return runs
+def repeated_runs(p: Paragraphs, places: list, run_words: int) -> list[tuple[int, int]]:
+    """(first, last) words of runs that go: repeated ones, and a few between them."""
+    if not p.n_words:
+        return []
+    edge = np.zeros(p.n_words + 1, np.int64)
+    for x in places:
+        if x["place"] < 0:
+            edge[min(x["start"], p.n_words)] += 1
+            edge[min(x["stop"], p.n_words)] -= 1
+        elif x["place"] < len(p.words):
+            edge[min(p.first[x["place"]] + x["start"], p.n_words)] += 1
+            edge[min(p.first[x["place"]] + x["stop"], p.n_words)] -= 1
+    own = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    groups = np.split(own, np.flatnonzero(np.diff(own) > LEAST_WORDS) + 1)
+    return [(int(g[0]), int(g[-1])) for g in groups if len(g) >= run_words]
 
 
 def shortened(data: bytes, cut: list[tuple[int, int]]) -> str:

@@ -131,6 +131,29 @@ def test_paragraphs_do_not_depend_on_place():
     assert len(alone - within) <= 2
 
 
+@pytest.mark.parametrize("stops", [None, (5, 12), (8, 20), (15, 30)])
+def test_passages_of_51_to_60_words_at_any_word(spark, stops):
+    rng = random.Random(9)
+
+    def running(n):
+        words = prose(rng, n).split()
+        at = rng.randint(*stops) if stops else n
+        while at < n:
+            words[at] += "."
+            at += rng.randint(*stops) if stops else n
+        return " ".join(words)
+
+    texts, own = [], []
+    for _ in range(60):
+        passage = running(rng.randint(51, 60))
+        for _ in range(2):
+            own.append((running(rng.randint(1, 50)), running(rng.randint(1, 50))))
+            texts.append(f"{own[-1][0]} {passage} {own[-1][1]}")
+    got = {r.doc_id: r.text for r in without_repeats(frame(spark, texts)).collect()}
+    for i, (before, after) in enumerate(own):
+        assert got[i] == (texts[i] if i % 2 == 0 else f"{before} {after}")
+
+
 def test_shingle_blocks(monkeypatch):
     import tallyloom.llm.common as c
 
