@@ -14,7 +14,8 @@ similarity 0.75 a pair meets in some band with chance 1 - 0.25**4 = 0.996. Ancho
    anchor, and the first that also has the same ``NEAR`` words after it, or before it; the match is
    extended word by word to both sides, at most ``REACH`` words, which reaches the next anchor.
 3. Colliding paragraphs of different digest are joined with the first of their band and verified by
-   exact Jaccard similarity of their shingle sets.
+   exact Jaccard similarity of their shingle sets. Bands that then still hold several components are
+   compared wholly, in blocks inside tasks.
 4. Connected components of the links cluster digests; the first paragraph of a cluster stays. Of the
    others, the words from the first to the last shingle that it has count as repeated.
 5. Each document loses its runs of repeated words that hold ``RUN_WORDS`` words or more together;
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, _power, components, mix64, nullable, span_hashes, written
 from .exact_dedup import merged_filter, partition_filters
+from .near_dedup import _long_lists
 
 LEAST_WORDS = 5
 ANCHOR_WORDS = 8
@@ -245,7 +247,14 @@ def _near_paragraphs(docs: DataFrame, banded: DataFrame) -> DataFrame:
     places = written(banded.select("fp", "id", "place").join(open_.select("fp").distinct(), "fp", "left_semi").distinct(), "places")
     sets = _shingle_sets(docs, open_.select("fp").distinct(), places)
     first = written(_verified(pairs, sets), "links")
-    links = first
+    early = written(components(first), "early")
+    # bands whose members are still in several components: all of them with one another
+    marked = open_.select(F.col("key").alias("v"), F.col("fp").alias("id")).join(early.withColumnRenamed("node", "id"), "id", "left")
+    marked = marked.select("v", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = marked.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
+    members = marked.join(mixed.select("v", "size"), "v").join(sets.select(F.col("fp").alias("id"), "n", F.col("items").alias("sketch")), "id")
+    more = written(_long_lists(members, SIMILAR).distinct(), "more")
+    links = first.unionByName(more.where("sure").select("a", "b")).unionByName(_verified(more.where("not sure").select("a", "b").distinct(), sets))
     grouped = places.join(written(components(links), "clusters").withColumnsRenamed({"node": "fp", "component": "cluster"}), "fp")
     kept = grouped.groupBy("cluster").agg(F.min(F.struct("id", "place", "fp")).alias("first"), F.max("id").alias("other")).where("first.id < other")
     gone = written(grouped.join(kept, "cluster").where("id <> first.id or place <> first.place").select("id", "place", "fp", F.col("first.fp").alias("kept")), "near")

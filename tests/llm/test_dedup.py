@@ -7,7 +7,8 @@ from collections import defaultdict
 
 import pytest
 
-from tallyloom.llm.common import components, shingle_set
+from tallyloom.llm import substring_dedup
+from tallyloom.llm.common import components, mix64, shingle_set
 from tallyloom.llm.exact_dedup import exact_duplicates
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import Paragraphs, without_repeats
@@ -154,6 +155,27 @@ def test_passages_of_51_to_60_words_at_any_word(spark, stops):
         assert got[i] == (texts[i] if i % 2 == 0 else f"{before} {after}")
 
 
+def test_near_paragraphs_in_a_hot_band(spark):
+    """All sentences share the smallest shingle of every band; the first of the bands resembles none of the near pair."""
+    rng = random.Random(10)
+    drawn = [(p, Paragraphs(f"x y z. {p} {prose(rng, 15)}.")) for p in (prose(rng, 5) for _ in range(2000))]
+    hot = []
+    for band in range(substring_dedup.BANDS):
+        seed = substring_dedup._SEEDS[band * substring_dedup.ROWS]
+        hot.append(min(drawn, key=lambda d: int(mix64(d[1].shingles()[3:4] ^ seed)[0]))[0])  # noqa: B023
+    head, rows = " ".join(hot), []
+    for _ in range(12):
+        rows.append(f"{head} {prose(rng, 20)}.")
+    fp = lambda t: int(Paragraphs(f"own words. {t} end").digests().view("int64")[1])
+    rows.sort(key=fp)
+    kept = rows[5].split(" ")
+    near = next(t for t in (" ".join([*kept[:34], "zzz" + prose(rng, 1), *kept[35:]]) for _ in range(1000)) if fp(t) > fp(rows[0]))
+    texts = [f"{prose(rng, 3)}. {t} {prose(rng, 4)}" for t in [*rows, near]]
+    got = {r.doc_id: r for r in without_repeats(frame(spark, texts), run_words=36).collect()}
+    assert [i for i, r in got.items() if r.n_removed] == [12]
+    assert near not in got[12].text
+
+
 def test_shingle_blocks(monkeypatch):
     import tallyloom.llm.common as c
 
