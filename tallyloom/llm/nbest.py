@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids as ids_of
+from .common import nullable
 from .tokens import LATE_MARK, LONG_SPACE, in_slices
 
 CACHED_PARTS = 1_200_000  # per worker; later parts are searched each time they come
@@ -58,6 +58,7 @@ class Vocabulary:
         self.plain = not any(
             b[1] == SPACE and b[0] != SPACE or "\n" in b or b[1] in ".," and b[0].isalnum() for b in self.bigrams
         )
+        self.spelling: dict[int, bytes] = {}
         self.ids: dict[str, bytes] = {}
         self.score: dict[str, float] = {}
         self.loss: dict[str, float] = {}  # of the second-best segmentation
@@ -198,9 +199,11 @@ class Vocabulary:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode()
+        try:
+            out = b"".join(map(self.spelling.__getitem__, ids))
+        except KeyError:
+            self.spelling.update((i, bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode()) for i in set(ids))
+            out = b"".join(map(self.spelling.__getitem__, ids))
         return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
@@ -230,19 +233,34 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 
 def n_best(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rank, score, n_pieces, ids_crc32): the n best segmentations of every text, from rank 1."""
+    """(id, rank, score, n_pieces, ids): the n best segmentations of every text, from rank 1; ids are little-endian 32-bit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model_file)
         for pdf in batches:
-            names, out = ids_of(pdf["id"]), []
+            names = ids_of(pdf["id"])
             for first, texts in in_slices(pdf["text"].tolist()):
+                out = []
                 for k, text in enumerate(texts, first):
-                    out += [(names[k], r, s, len(ids) // 4, zlib.crc32(ids)) for r, (s, ids) in enumerate(v.segmented(text, n), 1)]
-            yield pd.DataFrame(out, columns=["id", "rank", "score", "n_pieces", "ids_crc32"]).astype({"id": object})
+                    out += [(names[k], r, s, len(ids) // 4, ids) for r, (s, ids) in enumerate(v.segmented(text, n), 1)]
+                yield pd.DataFrame(out, columns=["id", "rank", "score", "n_pieces", "ids"]).astype({"id": object})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(run, f"id {kind}, rank int, score double, n_pieces long, ids_crc32 long").withColumnRenamed("id", id_col)
+        .mapInPandas(run, f"id {kind}, rank int, score double, n_pieces long, ids binary").withColumnRenamed("id", id_col)
     )
+
+
+def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``rows`` with the text that their ids spell; null ids give null."""
+    names, kinds = [c for c in rows.columns if c != text_col], dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(model_file)
+        for pdf in batches:
+            texts = [None if x is None else v.decode(np.frombuffer(x, "<u4").tolist()) for x in pdf[ids_col]]
+            yield nullable(pdf, kinds).assign(**{text_col: pd.Series(texts, pdf.index, object)})
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return rows.select(*names).mapInPandas(run, f"{schema}, `{text_col}` string")

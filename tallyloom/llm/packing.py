@@ -16,7 +16,6 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids as ids_of
-from .common import nullable
+from .common import new_path, nullable
 from .tokens import encoder, in_slices
 
 GROUP = 32_768
@@ -48,7 +47,7 @@ class Capacity:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document."""
+    """(id, piece, start, length, ids) of every document; ids are little-endian 32-bit."""
     longest = capacity.longest
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,11 +61,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: Capacity, end_id: int, id_
                     n = len(ids) // 4
                     cut = [0, *range(n % longest or longest, n + 1, longest)]
                     view = memoryview(ids)
-                    rows += [(names[k], p, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": object})
+                    rows += [(names[k], p, a, b - a, bytes(view[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids"]).astype({"id": object})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        build, f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+        build, f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids binary"
     )
 
 
@@ -124,7 +123,20 @@ def packed(cut: DataFrame, capacity: Capacity, groups: int) -> DataFrame:
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: Capacity | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """All documents tokenised, cut and packed: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """All documents tokenised, cut and packed: id, piece, start, length, ids, sequence_id, offset, ids_crc32."""
     capacity = capacity or Capacity()
     groups = max(1, math.ceil(docs.count() / GROUP))
-    return packed(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), capacity, groups).withColumnRenamed("id", id_col)
+    cut = pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    path = new_path(docs.sparkSession, "pieces")
+    cut.write.option("compression", "zstd").parquet(path)
+    cut = docs.sparkSession.read.schema(cut.schema).parquet(path)
+    placed = packed(cut.select("row", "length"), capacity, groups).drop("length")  # the ids stay out of the groups
+    found = cut.join(placed, "row").drop("row").withColumnRenamed("id", id_col)
+    return found.withColumn("ids_crc32", F.crc32("ids"))
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids): the packed sequences, their pieces one after another by offset."""
+    in_order = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(in_order, F.lit(b""), lambda all_, x: F.concat(all_, x["ids"]))
+    return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))

@@ -48,7 +48,8 @@ def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+    found = pack_documents(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    from .nbest import n_best
+    from .nbest import decoded, n_best
 
-    return n_best(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+    model = path("piece_bpe_32k.model")
+    found = decoded(n_best(_table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
 
 
 def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

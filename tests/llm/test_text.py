@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tallyloom.llm import langid, nbest
-from tallyloom.llm.packing import Capacity, best_fit, pack_documents
+from tallyloom.llm.packing import Capacity, best_fit, pack_documents, sequences
 from tallyloom.llm.preferences import format_preferences
 from tallyloom.llm.token_files import TokenFileReader, read_token_files, write_token_files
 from tallyloom.llm.tokens import WordEncoder
@@ -84,6 +84,25 @@ def test_packing(spark):
     assert pack_documents(frame(spark, ["x"]).limit(0), BYTE).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(spark):
+    texts = [*ODD, None, "some words " * 900]
+    placed = pack_documents(frame(spark, texts), BYTE).cache()
+    own = {r.sequence_id: r for r in sequences(placed).collect()}
+    t, got = reference(BYTE), defaultdict(bytes)
+    for r in sorted(placed.collect(), key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] += own[r.sequence_id].ids[4 * r.offset : 4 * (r.offset + r.length)]
+    for i, text in enumerate(texts):
+        assert got[i] == np.asarray(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
+    assert all(len(r.ids) == 4 * r.length <= 4096 for r in own.values())
+
+
+def test_nbest_ids_decode(spark):
+    texts = ["hello world", "so, it  is", "é🙂\nq.", "", None]
+    rows = nbest.decoded(nbest.n_best(frame(spark, texts), PIECE), PIECE).collect()
+    assert {r.doc_id for r in rows} == set(range(5)) and max(r["rank"] for r in rows) == 3
+    assert all(r.text == (texts[r.doc_id] or "") and len(r.ids) == 4 * r.n_pieces for r in rows)
+
+
 def test_token_files(spark):
     texts = [*ODD, None]
     t, start, want = reference(WORD), 0, []
