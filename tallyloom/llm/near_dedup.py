@@ -201,7 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(f"4 * (shared + h) >= least(n, {LISTED})").select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.lit(False).alias("sure"))
     )
     # a pair without a common value in short lists has all of its common values in long ones
-    mostly = heavy.join(drawn.select("id", "n").dropDuplicates(["id"]), "id").where(f"h >= CASE WHEN n <= {LISTED} THEN 0.75 * n ELSE {LEAST_LONG} END").select("id")
+    # (a partner of n / percent values lists LISTED of them, so the others may be missing from the common ones)
+    common = f"least({percent} * n / 100, n - greatest(0, floor(100 * n / {percent}) - {LISTED}))"
+    mostly = heavy.join(drawn.select("id", "n").dropDuplicates(["id"]), "id").where(f"h >= CASE WHEN n <= {LISTED} THEN {common} ELSE {LEAST_LONG} END").select("id")
     placed = written(open_.where(f"size > {SHORT}").join(mostly, "id", "left_semi").drop("size"), "placed")
     sizes = placed.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "size")
     long = placed.join(sizes, "v").join(written(_long_sketches(docs, placed.select("id").distinct(), id_col, text_col, words), "long-sketches"), "id")

@@ -72,6 +72,21 @@ def test_near_duplicates(spark, seed):
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == [(i, len(s), want[i], want[i] == i) for i, s in enumerate(sets)]
 
 
+def test_short_near_duplicates_in_long_lists(spark):
+    """24 of 32 shingles; the partner lists 16 or 17 of them, each in a list of over 64 texts that neither leads."""
+    rng = random.Random(11)
+    while True:
+        words = prose(rng, 36).split()
+        pair = [" ".join(words[:28]), " ".join(words)]
+        listed = set(shingle_set(pair[1])[:24].tolist())
+        common = [g for g in (" ".join(words[k : k + 5]) for k in range(24)) if int(shingle_set(g)[0]) in listed]
+        if len(common) in (16, 17):
+            break
+    texts = [*pair, *(f"{g} {prose(rng, 3)}" for g in common for _ in range(70))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts)).collect()}
+    assert got[1] == 0 and all(got[i] == i for i in range(2, len(texts)))
+
+
 def test_exact_duplicates(spark):
     texts = corpus(3)
     groups = defaultdict(list)
