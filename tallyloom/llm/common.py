@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Only a session on this machine alone that names none gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +56,30 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+BROADCAST_IDS = 1 << 20  # longest list of ids that goes to every executor; longer ones are joined by shuffle
+
+
+def of_ids(docs: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """``docs`` joined with a written table of ids (and what is asked of each), whose size is counted first.
+
+    A short table goes to the executors, so that the texts stay where they are.
+    """
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if few else wanted, key)
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks: one model at a time, so that caches of steps that are over go."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def nullable(pdf: pd.DataFrame, kinds: dict[str, str]) -> pd.DataFrame:
     """Whole-number columns that pandas reads as floats, because they hold nulls, as nullable integers."""
     own = [c for c in pdf.columns if kinds.get(c) in ("bigint", "int", "smallint", "tinyint") and pdf[c].dtype.kind == "f"]

@@ -16,6 +16,7 @@ an empty result; further columns are ignored. Words longer than ``WORD`` letters
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, nullable, written
+from .common import dropped, nullable, resident, written
 from .tokens import in_slices
 
 SAMPLE_DOCS = 20_000  # bound on the labelled rows that are used for fitting
@@ -204,7 +206,9 @@ class _Scorer:
         return out
 
 
-_scorers: dict[int, _Scorer] = {}
+def _scorer(key: bytes, model: Broadcast) -> _Scorer:
+    """This worker's scorer of a model."""
+    return resident(("scorer", key), lambda: _Scorer(model.value))
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -214,11 +218,9 @@ def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
     key = hash((model.languages, model.prob.tobytes()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(shared.value)
+        scorer = _scorer(key, shared)
         for pdf in batches:
-            found = [x for _, texts in in_slices(pdf[text_col].tolist()) for x in _scorers[key](texts)]
+            found = [x for _, texts in in_slices(pdf[text_col].tolist()) for x in scorer(texts)]
             yield nullable(pdf, kinds).assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

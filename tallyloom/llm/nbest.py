@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids as ids_of
-from .common import nullable
+from .common import nullable, resident
 from .tokens import LATE_MARK, LONG_SPACE, in_slices
 
 CACHED_PARTS = 1_200_000  # per worker; later parts are searched each time they come
@@ -37,8 +37,6 @@ SPACE = "▁"
 
 _RUNS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
-_vocabularies: dict[str, Vocabulary] = {}
-
 
 class Vocabulary:
     def __init__(self, model_file: str):
@@ -226,10 +224,8 @@ def _cheapest(costs: list[list[float]], n: int) -> list[tuple[float, tuple[int,
 
 
 def vocabulary(model_file: str) -> Vocabulary:
-    """This worker's vocabulary; it lives as long as the worker."""
-    if model_file not in _vocabularies:
-        _vocabularies[model_file] = Vocabulary(model_file)
-    return _vocabularies[model_file]
+    """This worker's vocabulary."""
+    return resident(("vocabulary", model_file), lambda: Vocabulary(model_file))
 
 
 def n_best(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

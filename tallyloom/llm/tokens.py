@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import resident
+
 CACHED_WORDS = 1_200_000  # per worker; later words are encoded each time they come
 LONG_WORD = 64  # longer words are not kept
 CHARS_AT_ONCE = 4_000_000
@@ -23,8 +25,6 @@ CHARS_AT_ONCE = 4_000_000
 LATE_MARK = re.compile(r"[.,](?<=[\W_].)", re.S)
 LONG_SPACE = re.compile(r"\s\s")
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 def _plain_end(word: str) -> bool:
     return word != "" and (word[-1].isalnum() or "!" <= word[-1] <= "~")
@@ -106,10 +106,8 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """This worker's encoder."""
+    return resident(("encoder", path), lambda: WordEncoder(path))
 
 
 def in_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
