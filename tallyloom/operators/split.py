@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -79,34 +80,42 @@ def pools(pairs: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
 _RESULT = "bank_credit_id string, b_seq long, amount long, n_solutions int, components array<string>, listed string, consumed boolean"
 
 
-def _one(credit: pd.Series, pool: pd.DataFrame, config: ReconConfig) -> tuple:
-    names = pool["settlement_id"].tolist()
-    found = subset_sums(pool["net"].tolist(), int(credit["amount"]), config)
+_NAMES = [x.split(" ")[0] for x in _RESULT.split(", ")]
+
+
+def _one(bank_credit_id: str, b_seq: int, amount: int, names: list[str], nets: list[int], config: ReconConfig) -> tuple:
+    found = subset_sums(nets, int(amount), config)
     text = " | ".join("+".join(sorted(names[i] for i in c)) for c in found)
-    return (credit["bank_credit_id"], int(credit["b_seq"]), int(credit["amount"]), len(found), [names[i] for i in found[0]] if found else None, text, len(found) == 1)
+    return bank_credit_id, int(b_seq), int(amount), len(found), [names[i] for i in found[0]] if found else None, text, len(found) == 1
 
 
 def solve_linked(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
     """Subset search of linked credits; credits of one reference take turns and consume.
 
-    Parallel per reference; a group holds one batch. Columns: bank_credit_id, b_seq, amount,
-    n_solutions (up to the number listed), components of the first, listed, consumed.
+    A batch, the links of one reference, is gathered as an array; tasks take many batches at a time.
+    Columns: bank_credit_id, b_seq, amount, n_solutions (up to the number listed), components of the
+    first, listed, consumed.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for _, own in pdf.sort_values(["b_seq", "s_seq"], kind="stable").groupby("b_seq", sort=True):
-            free = own[~own["settlement_id"].isin(used)]
-            if len(free) < 2:
-                continue
-            row = _one(own.iloc[0], free.head(config.split_pool), config)
-            if row[3] == 1:
-                used.update(row[4])
-            out.append(row)
-        return pd.DataFrame(out, columns=["bank_credit_id", "b_seq", "amount", "n_solutions", "components", "listed", "consumed"])
-
-    return linked(credits, settlements, config).select("utr", "currency", "bank_credit_id", "b_seq", "amount", "settlement_id", "s_seq", "net").groupBy("utr", "currency").applyInPandas(solve, _RESULT)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for links in pdf["links"]:
+                used: set[str] = set()
+                for _, own in groupby(sorted(links, key=lambda x: (x["b_seq"], x["s_seq"])), key=lambda x: x["b_seq"]):
+                    free = [x for x in own if x["settlement_id"] not in used]
+                    if len(free) >= 2:
+                        pool, first = free[: config.split_pool], free[0]
+                        row = _one(first["bank_credit_id"], first["b_seq"], first["amount"], [x["settlement_id"] for x in pool], [x["net"] for x in pool], config)
+                        if row[3] == 1:
+                            used.update(row[4])
+                        out.append(row)
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    spark = credits.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # else few bytes become one task
+    link = F.struct("bank_credit_id", "b_seq", "amount", "settlement_id", "s_seq", "net")
+    return linked(credits, settlements, config).groupBy("utr", "currency").agg(F.collect_list(link).alias("links")).select("links").repartition(parts).mapInPandas(solve, _RESULT)
 
 
 def islands(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT, cut_by: tuple[str, ...] = ()) -> DataFrame:
@@ -140,11 +149,11 @@ def solve_full(credits: DataFrame, settlements: DataFrame, config: ReconConfig =
             take = np.flatnonzero(part if part.sum() >= 2 else near)[: config.split_pool]
             if len(take) < 2:
                 continue
-            row = _one(c, have.iloc[take], config)
+            row = _one(c["bank_credit_id"], c["b_seq"], c["amount"], names[take].tolist(), have["net"].to_numpy()[take].tolist(), config)
             if row[3] == 1:
                 free[np.isin(names, row[4])] = False
             out.append(row)
-        return pd.DataFrame(out, columns=["bank_credit_id", "b_seq", "amount", "n_solutions", "components", "listed", "consumed"])
+        return pd.DataFrame(out, columns=_NAMES)
 
     return left.groupBy(*key, "island").cogroup(right.groupBy(*key, "island")).applyInPandas(solve, _RESULT)
 

@@ -229,9 +229,9 @@ def normalize_reference(c: Case) -> DataFrame:
 
 def _own_pairs(c: Case) -> DataFrame:
     """Credits beside the settlements of the same order."""
-    order = lambda name, at: F.substring(name, at, 9)
-    bank = c.work.credits().select("bank_credit_id", F.col("utr").alias("b_utr"), F.col("amount").alias("b_amount"), "credited_at", "currency", order("bank_credit_id", 6).alias("o"))
-    return bank.join(c.work.settlements().select("settlement_id", F.col("utr").alias("s_utr"), "net", "settled_at", F.col("currency").alias("s_currency"), order("settlement_id", 6).alias("o")), "o")
+    order = lambda name: F.regexp_extract(name, r"_(\d+)", 1)
+    bank = c.work.credits().select("bank_credit_id", F.col("utr").alias("b_utr"), F.col("amount").alias("b_amount"), "credited_at", "currency", order("bank_credit_id").alias("o"))
+    return bank.join(c.work.settlements().select("settlement_id", F.col("utr").alias("s_utr"), "net", "settled_at", F.col("currency").alias("s_currency"), order("settlement_id").alias("o")), "o")
 
 
 _OWN = """(SELECT bank_credit_id, settlement_id, c.utr AS b_utr, s.utr AS s_utr, c.amount AS b_amount, s.net AS net, c.credited_at AS credited_at, s.settled_at AS settled_at, c.currency AS currency,
@@ -468,7 +468,7 @@ def deferral_by_level(c: Case) -> DataFrame:
 
 
 def _batch(name: str) -> F.Column:
-    return (F.floor(F.substring(name, 6, 9).cast("long") / 100) % 5).alias("batch_id")
+    return (F.floor(F.regexp_extract(name, r"_(\d+)", 1).cast("long") / 100) % 5).alias("batch_id")
 
 
 @query("""SELECT metric, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM (UNPIVOT batch_head ON precision, recall, match_rate, fp_rate INTO NAME metric VALUE value) GROUP BY metric""")

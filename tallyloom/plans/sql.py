@@ -50,7 +50,7 @@ CTE: dict[str, str] = {
     "parts": """SELECT k, m, d, utr, n, price FROM b JOIN (
         SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
           round(l_extendedprice * 100)::BIGINT AS price FROM lineitem WHERE l_orderkey % 100 BETWEEN 85 AND 88) ON k = l_orderkey WHERE m BETWEEN 85 AND 88
-      UNION ALL SELECT k, m, d, utr, n, price FROM b, (VALUES (1, 10000), (2, 20000), (3, 15000), (4, 15000)) v(n, price) WHERE m BETWEEN 89 AND 90""",
+      UNION ALL SELECT k, m, d, utr, n, price FROM b, (VALUES (1, 41300), (2, 68900), (3, 52700), (4, 57500)) v(n, price) WHERE m BETWEEN 89 AND 90""",
     "settlements": f"""SELECT {_id('setl_')} AS settlement_id, {_id('pay_')} AS payment_id, gross, fee, tax, CASE WHEN m BETWEEN 91 AND 93 THEN net + 1500 ELSE net END AS net,
         CASE WHEN m BETWEEN 44 AND 55 THEN d + (sign * (h % 3 + 1))::INTEGER WHEN m BETWEEN 78 AND 84 THEN d + 3 ELSE d END AS settled_at,
         CASE WHEN m BETWEEN 66 AND 71 THEN left(utr, 6) || '-' || substr(utr, 7) WHEN m BETWEEN 72 AND 77 THEN left(utr, 12)
@@ -62,7 +62,7 @@ CTE: dict[str, str] = {
       FROM parts""",
     "payments": "SELECT 'ord_' || substr(payment_id, 5) AS order_id, payment_id, gross AS amount, currency, 'captured' AS status, settled_at AS created_at, seq FROM settlements",
     "credits": f"""SELECT {_id('bank_')} AS bank_credit_id, utr,
-        CASE WHEN m BETWEEN 56 AND 65 THEN net + sign * (net * 8 // 1000) WHEN m = 98 THEN net * 1000 WHEN m BETWEEN 89 AND 90 THEN 30000 ELSE net END AS amount,
+        CASE WHEN m BETWEEN 56 AND 65 THEN net + sign * (net * 8 // 1000) WHEN m = 98 THEN net * 1000 WHEN m BETWEEN 89 AND 90 THEN 110200 ELSE net END AS amount,
         CASE WHEN m = 98 THEN DATE '1990-06-15' WHEN m BETWEEN 89 AND 90 THEN d + 1 ELSE d END AS credited_at,
         CASE WHEN m = 97 THEN 'USD' ELSE 'INR' END AS currency, k * 100 AS seq FROM b WHERE m < 85 OR m IN (89, 90) OR m >= 96
       UNION ALL SELECT {_id('bank_', "'_x'")}, utr, net, d, 'INR', k * 100 + 1 FROM b WHERE m = 99

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..plans.cluster import staged
 
 #: fixed values: field names of the JSON exchange format -> (column, type); amounts are decimals there
 JSON_FIELDS = {
@@ -51,14 +52,15 @@ def read_json(spark: SparkSession, path: str, table: str, id_column: str | None
 
 
 def with_seq(df: DataFrame, id_column: str) -> DataFrame:
-    """Input positions as rank by id: a range-partitioned sort, then offsets per partition (a few rows)."""
+    """Input positions as rank by id: a range-partitioned sort, written once, then offsets per partition.
+
+    Counting and numbering read the same written rows; a second range partitioning would draw other bounds.
+    """
     ranged = df.repartitionByRange(id_column).sortWithinPartitions(id_column).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = sorted(ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())
-    rows, total = [], 0
-    for part, n, first in sizes:
-        rows.append((part, total - first))
-        total += n
-    shift = df.sparkSession.createDataFrame(rows, "_part int, _shift long")
+    ranged = staged(ranged, "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))  # a row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_part", (before - F.col("first")).alias("_shift"))
     return ranged.join(F.broadcast(shift), "_part").withColumn("seq", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
