@@ -1,14 +1,19 @@
 """Page extraction and vector search, with awkward rows."""
 
+import random
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm.html_extract import extract_pages, main_text, matched, parsed
+from tallyloom.llm import html_extract
+from tallyloom.llm.html_extract import Matcher, Node, Tree, extract_pages, main_text, parsed
 from tallyloom.llm.vector_search import nearest
 
 
 def text(page):
-    return main_text(parsed(page), set())
+    return main_text(parsed(page))
 
 
 def test_main_text():
@@ -25,8 +30,52 @@ def test_broken_markup():
 
 
 def test_tree_matching_is_largest():
-    a, b = parsed("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"), parsed("<div><ul><li>q</li></ul><p>3</p></div>")
-    assert len(matched(a, b)) == 5  # root, div, ul, one li, one p
+    m = Matcher()
+    a, b = m.tree("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"), m.tree("<div><ul><li>q</li></ul><p>3</p></div>")
+    assert len(m.matched(a, b)) == m.size(a.shape[0], b.shape[0]) == 5  # root, div, ul, one li, one p
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 4])
+def test_tree_matching_is_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "TABLE_CELLS", cells)
+    rng = random.Random(3)
+
+    def drawn(depth):
+        n = Node(rng.choice("xyz"))
+        n.parts = [drawn(depth - 1) for _ in range(rng.randint(0, 5))] if depth else []
+        return n
+
+    def largest(x, y):
+        if x.tag != y.tag:
+            return 0
+        best = [[0] * (len(y.parts) + 1) for _ in range(len(x.parts) + 1)]
+        for i, s in enumerate(x.parts):
+            for j, t in enumerate(y.parts):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + largest(s, t))
+        return 1 + best[-1][-1]
+
+    for _ in range(60):
+        roots = [Node("root"), Node("root")]
+        for r in roots:
+            r.parts = [drawn(3) for _ in range(rng.randint(1, 6))]
+        m = Matcher()
+        a, b = (Tree(r, m.shape) for r in roots)
+        found = m.matched(a, b)
+        assert len(found) == largest(*roots) == m.size(a.shape[0], b.shape[0])
+        up = [{c: k for k, own in enumerate(t.kids) for c in own} for t in (a, b)]
+        assert all(a.nodes[x].tag == b.nodes[y].tag for x, y in found)
+        assert {(up[0][x], up[1][y]) for x, y in found if x} <= set(found) and all((x < z) == (y < w) for x, y in found for z, w in found if x != z)
+
+
+def test_wide_deep_and_quoted_pages():
+    m = Matcher()
+    deep, wide = "<div>" * 5000 + "x", "".join(f"<p>{k}</p>" + "<div><ul></ul></div>" * (k % 3) for k in range(3000))
+    assert len(m.matched(m.tree(deep), m.tree(deep + "<p>y"))) == 5001
+    assert len(m.matched(m.tree(wide), m.tree("<h1>new</h1>" + wide))) == 1 + 3000 + 2 * 3000
+    began = time.process_time()
+    for junk in ('<a "', "<a '", '<a b="', "<!", "<a =", "<![CDATA[", "<ul>", "</x><b>"):
+        text(junk * 250_000)
+    assert time.process_time() - began < 40
 
 
 def pages(spark, rows):
@@ -43,6 +92,25 @@ def test_wrapper_drops_constant_blocks(spark):
     assert extract_pages(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_constancy_alone_tells_content(spark, monkeypatch):
+    """Neutral names everywhere: what is the same on every page goes, short varying parts outside the content go."""
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n))
+    body = "<body><div class=a><div>{0}</div><div>{1}</div></div><div class=b><div><p>All rights with us</p><p>{2}</p><p>{3}</p><div class=share-box><p>{4}</p></div></div></div></body>"
+    rows = [(f"http://h.example/{i}", [line(2), line(2), line(30), line(20), line(3)]) for i in range(20)]
+    docs = pages(spark, [(u, body.format(*x)) for u, x in rows])
+    want = {i: f"{x[2]}\n{x[3]}" for i, (_, x) in enumerate(rows)}
+    assert {r.page_id: r.text for r in extract_pages(docs).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", 0)  # pages and wrappers meet by host and salt
+    assert {r.page_id: r.text for r in extract_pages(docs).collect()} == want
+
+
+def test_article_in_a_block_with_a_telling_name(spark):
+    page = "<body><div class=related-notice><h1>{0}</h1><p>{1}</p><p>{1} more</p></div><div><p>x{0}</p></div></body>"
+    docs = pages(spark, [(f"http://h.example/{i}", page.format(f"Head {i}", f"long story {i} " * 9)) for i in range(10)])
+    assert all(r.text.startswith(f"Head {r.page_id}\nlong") and "x" not in r.text for r in extract_pages(docs).collect())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 8)).astype(np.float32)
