@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,12 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10.0
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        chars = sorted({c for b in self.bigrams for c in b})
+        self.number = np.zeros(sys.maxunicode + 1, np.int32)  # of characters in bigrams, from 1
+        self.number[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.joint = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        first, second = (self.number[[ord(b[k]) for b in self.bigrams]] for k in (0, 1))
+        self.joint[first, second] = True
         # spaces and line breaks only start pieces, and no piece has a letter or digit before a comma or stop
         self.plain = not any(
             b[1] == SPACE and b[0] != SPACE or "\n" in b or b[1] in ".," and b[0].isalnum() for b in self.bigrams
@@ -146,9 +153,11 @@ class Vocabulary:
 
     def split(self, part: str) -> list[str]:
         """A part cut further where no piece holds both neighbours."""
-        if len(part) < 2:
-            return [part]
-        at = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.bigrams), len(part)]
+        if len(part) < 64:
+            at = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.bigrams), len(part)]
+        else:
+            c = self.number[np.frombuffer(part.encode("utf-32-le", "replace"), "<u4")]
+            at = [0, *(np.flatnonzero(~self.joint[c[:-1], c[1:]]) + 1).tolist(), len(part)]
         return [part[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def segmented(self, text: str, n: int) -> list[tuple[float, bytes]]:
