@@ -72,13 +72,13 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def stale_reply_pairs(turns: DataFrame, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) from plain conversations: up to the last assistant turn, which the rejected
-    side answers with the text of the assistant turn before it. Conversations with fewer than two
-    assistant turns give no pair.
+    side answers with the text of the assistant turn before it, or with an empty text if there is none.
+    Conversations without an assistant turn have nothing to train on and give no pair.
     """
     base = turns.select(F.col(id_col).alias("pair_id"), "turn", "role", "text")
     spoken = Window.partitionBy("pair_id", "role").orderBy(F.desc("turn"), F.desc_nulls_last("text"))
     replies = base.where("role = 'assistant'").withColumn("back", F.row_number().over(spoken)).where("back <= 2")
-    last = replies.groupBy("pair_id").agg(F.max(F.when(F.col("back") == 1, F.col("turn"))).alias("at"), F.max(F.when(F.col("back") == 2, F.col("text"))).alias("stale"), F.count("*").alias("n")).where("n = 2")
-    told = base.join(last.drop("n"), "pair_id").where("turn <= at")
+    last = replies.groupBy("pair_id").agg(F.max(F.when(F.col("back") == 1, F.col("turn"))).alias("at"), F.max(F.when(F.col("back") == 2, F.col("text"))).alias("stale"))
+    told = base.join(last, "pair_id").where("turn <= at")
     stale = F.when((F.col("turn") == F.col("at")) & (F.col("role") == "assistant"), F.col("stale")).otherwise(F.col("text"))
     return told.select("pair_id", "turn", "role", "text"), told.select("pair_id", "turn", "role", stale.alias("text"))

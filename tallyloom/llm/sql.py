@@ -33,7 +33,7 @@ ra AS (
   FROM t WHERE role = 'assistant'),
 l AS (
   SELECT conv_id, max(turn) FILTER (WHERE back = 1) AS last_turn, max(text) FILTER (WHERE back = 2) AS stale
-  FROM ra WHERE back <= 2 GROUP BY conv_id HAVING count(*) = 2),
+  FROM ra WHERE back <= 2 GROUP BY conv_id),
 c AS (
   SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS c,
          replace(coalesce(CASE WHEN turn = last_turn AND role = 'assistant' THEN stale ELSE text END, ''), '<|', '<\|') AS r

@@ -13,8 +13,8 @@ are searched once. Lists go to tasks in blocks; blocks longer than ``BLOCK_ROWS`
 list that holds a third of all rows is many tasks, and so are ``PROBE_ROWS`` queries of a part.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, as queries or candidates; fewer candidates than asked for give all of
-them; ties go to the smaller id; repeated ids count as one vector; an empty table gives an empty
+components take no part, as queries or candidates; a query whose probed lists hold fewer than it
+asks for is held against all lists, so only fewer candidates give fewer neighbours; ties go to the smaller id; repeated ids count as one vector; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -194,7 +194,17 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "
     found = nearby.unionByName(searched(rest))
     few = found.withColumn("rank", rank).where(f"rank <= {top + 1}").drop("rank")
     few = few.join(classes.select(F.col("ids")[0].alias("cls"), "ids"), "cls").select("asked", "score", F.explode("ids").alias("vec_id"))
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).where(f"rank <= {top + 1}").drop("rank")
+    best = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
+    few = written(few.withColumn("rank", best).where(f"rank <= {top + 1}").drop("rank"), "few")
+    if probed < lists:  # a query whose lists hold too few is held against all of them
+        least = min(top + 1, rows.limit(top + 1).count())
+        poor = asked.select("cls").distinct().join(few.groupBy(F.col("asked").alias("cls")).agg(F.count("*").alias("n")), "cls", "left").where(f"coalesce(n, 0) < {least}")
+        poor = written(wanted.join(poor.select("cls"), "cls"), "poor")
+        if not poor.isEmpty():
+            own = F.explode(F.sequence(F.lit(0), F.lit((lists - 1) // BLOCK_LISTS)))
+            every = poor.withColumn("block", own).withColumn("lists", F.sequence(F.col("block") * BLOCK_LISTS, F.col("block") * BLOCK_LISTS + BLOCK_LISTS - 1)).withColumn("least", F.lit(-float("inf")))
+            more = searched(every).join(classes.select(F.col("ids")[0].alias("cls"), "ids"), "cls").select("asked", "score", F.explode("ids").alias("vec_id"))
+            few = few.join(poor.select(F.col("cls").alias("asked")), "asked", "left_anti").unionByName(more.withColumn("rank", best).where(f"rank <= {top + 1}").drop("rank"))
     each = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.withColumnRenamed("cls", "asked").join(few, "asked").where("query_id <> vec_id").withColumn("rank", F.row_number().over(each)).where(f"rank <= {top}")

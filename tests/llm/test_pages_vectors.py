@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import html_extract
+from tallyloom.llm import html_extract, vector_search
 from tallyloom.llm.html_extract import Matcher, Node, Tree, extract_pages, main_text, parsed
 from tallyloom.llm.vector_search import nearest
 
@@ -132,3 +132,18 @@ def test_nearest(spark):
     assert hit >= 0.9 * 20 * len(got)
     few = nearest(df.where("vec_id < 3"), F.col("id") % 20 == 0).collect()
     assert len(few) == 2 and nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_too_few_in_the_probed_lists(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "LEAST_PROBES", 1)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("id") % 200 == 0, top=300, probed_share=0.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [v for _, v in sorted(found)] == np.lexsort((np.arange(400), -s))[:300].tolist()
+    assert set(got) == {0, 200}

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 pytest.importorskip("public_tokenizers")
 from public_tokenizers import path
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from tallyloom.llm import langid, nbest
 from tallyloom.llm.packing import Capacity, best_fit, pack_documents, sequences
-from tallyloom.llm.preferences import format_preferences
+from tallyloom.llm.preferences import format_preferences, stale_reply_pairs
 from tallyloom.llm.token_files import TokenFileReader, read_token_files, write_token_files
 from tallyloom.llm.tokens import WordEncoder
 
@@ -118,6 +119,19 @@ def test_token_files(spark):
     assert read_token_files(write_token_files(frame(spark, ["x"]).limit(0), WORD)).count() == 0
 
 
+def test_token_files_with_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(5, "b"), (None, "zero"), (5, "a"), (2, None)], "doc_id long, text string")
+    manifest = write_token_files(rows, WORD)
+    got = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
+    t = reference(WORD)
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in ("zero", "", "a", "b")]
+    assert [r.id for r in got] == [None, 2, 5, 5] and [r.start for r in got] == [0, *np.cumsum([len(w) for w in want])[:-1].tolist()]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.asarray(w, "<u4").tobytes()) for w in want]
+    data = open(manifest.first()["path"].removeprefix("file://"), "rb").read()
+    plain = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(data)
+    assert plain == b"".join(np.asarray(w, "<u4").tobytes() for w in want)  # other tools skip the tables
+
+
 def test_damaged_file(spark, tmp_path):
     row = write_token_files(frame(spark, ["some words"] * 4).coalesce(1), WORD).first()
     data = bytearray(open(row["path"].removeprefix("file://"), "rb").read())
@@ -207,6 +221,14 @@ def test_preferences(spark):
     assert format_preferences(none, none).count() == 0
 
 
+def test_pairs_from_one_or_no_assistant_turn(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "only"), (2, 0, "user", "q"), (3, 0, "assistant", "first"), (3, 1, "user", "x"), (3, 2, "assistant", "last"), (None, 0, "assistant", "n")]
+    rows = format_preferences(*stale_reply_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.pair_id: (r.chosen, r.rejected) for r in rows} == {
+        1: ("<|assistant|>\nonly<|end|>\n", "<|assistant|>\n<|end|>\n"), 3: ("<|assistant|>\nlast<|end|>\n", "<|assistant|>\nfirst<|end|>\n"),
+    }
+
+
 def test_preferences_run_no_python(spark, capsys):
     entry.queries()["op5_preference_pairs"](spark, "/root/testdata/sf0.001").explain()
     assert "Python" not in capsys.readouterr().out
