@@ -15,6 +15,7 @@ their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 12  # high bits of the fingerprint: the unit in which quotients are dealt to tasks
+BLOCK = 1 << 20  # fingerprints of a block of quotients, the unit that is dealt to tasks
+LEAST_BITS = 6  # high bits of the fingerprint that number the blocks, at least
 QUOTIENT_BITS = 32
 
 
@@ -34,12 +36,12 @@ def _runs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _pack(h: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+def _pack(h: np.ndarray, n: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
     """The filter's blocks: occupied quotients, their run lengths, sorted remainders, counts."""
     if not len(h):
         return []
     out = []
-    block = h >> np.uint64(64 - BLOCK_BITS)
+    block = h >> np.uint64(64 - bits)
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     for i, j in zip(edges, [*edges[1:], len(h)], strict=True):
         quotient = (h[i:j] >> np.uint64(64 - QUOTIENT_BITS)).astype("<u4")
@@ -57,8 +59,9 @@ def _unpack(occupied: bytes, lengths: bytes, remainder: bytes, counts: bytes) ->
 _FILTER = "block long, occupied binary, lengths binary, remainders binary, counts binary"
 
 
-def partition_filters(fingerprints: DataFrame, column: str = "fp") -> DataFrame:
-    """One counting quotient filter per partition, as rows of quotient blocks."""
+def partition_filters(fingerprints: DataFrame, size: int, column: str = "fp") -> DataFrame:
+    """One counting quotient filter per partition, as rows of quotient blocks; ``size``: fingerprints in all."""
+    bits = min(QUOTIENT_BITS, max(LEAST_BITS, math.ceil(math.log2(max(size, 1) / BLOCK))))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -69,7 +72,7 @@ def partition_filters(fingerprints: DataFrame, column: str = "fp") -> DataFrame:
             if size > max(len(h), 1 << 20):  # sorting in when the filter doubles keeps the cost near one sort
                 h, n = _runs(np.concatenate((h, *held)), np.concatenate((n, np.ones(size, np.int64))))
                 held, size = [], 0
-        yield pd.DataFrame(_pack(*_runs(np.concatenate((h, *held)), np.concatenate((n, np.ones(size, np.int64))))), columns=["block", "occupied", "lengths", "remainders", "counts"])
+        yield pd.DataFrame(_pack(*_runs(np.concatenate((h, *held)), np.concatenate((n, np.ones(size, np.int64)))), bits), columns=["block", "occupied", "lengths", "remainders", "counts"])
 
     return fingerprints.select(column).mapInPandas(build, _FILTER)
 
@@ -93,7 +96,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = base.select("id", F.xxhash64("text").alias("fp"), F.sha2("text", 256).alias("sha"))
-    repeated = merged_filter(partition_filters(base.select(F.xxhash64("text").alias("fp")))).select("fp")
+    repeated = merged_filter(partition_filters(base.select(F.xxhash64("text").alias("fp")), docs.count())).select("fp")
     # byte verification: only texts whose fingerprint repeats, grouped by the bytes themselves
     verified = (
         base.withColumn("fp", F.xxhash64("text")).join(repeated, "fp", "left_semi")

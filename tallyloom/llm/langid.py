@@ -11,7 +11,8 @@ the id); everything else covers every row and its whole text.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; equal likelihoods go to
 the language that sorts first; if no row is labelled, every text is ``und``; an empty table gives
-an empty result; further columns are ignored. Words longer than ``WORD`` letters are read in parts.
+an empty result; further columns are ignored. Words of any length are
+read whole; only for fitting are those over ``WORD`` letters cut into parts.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ PIECE = 10  # longest piece, in characters
 WORD = 24
 FLOOR = 1e-8  # probability of a character or piece that a language has not shown
 CACHED_WORDS = 300_000  # per worker
+NEW_WORDS = 5_000  # whose lattices are made at a time
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -64,9 +66,10 @@ def vocabulary(model_file: str) -> dict[str, int]:
 
 
 def words(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased; numbers such as ½ or ² are none."""
     found = _LETTERS.findall((text or "").lower())
-    if any(len(w) > WORD for w in found):
-        found = [w[k : k + WORD] for w in found for k in range(0, len(w), WORD)]
+    if not all(map(str.isalpha, found)):
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
     return found
 
 
@@ -110,8 +113,31 @@ def _sums(lattice: tuple[np.ndarray, ...], n_words: int, prob: np.ndarray, back:
     return sums
 
 
+def _of_long_word(word: str, model: LanguageModel) -> np.ndarray:
+    """Per language the log of the sum over all segmentations; only the last ``PIECE`` sums are held, scaled anew at each place."""
+    s, get = START + word, model.pieces.get
+    sums, scale = [np.ones(len(model))], np.zeros(len(model))
+    for j in range(1, len(s) + 1):
+        here, first = np.zeros(len(model)), max(0, j - PIECE)
+        for k, i in enumerate(range(first, j), len(sums) - (j - first)):
+            p = get(s[i:j])
+            if p is not None or j == i + 1:
+                here += sums[k] * model.prob[-1 if p is None else p]
+        scale += np.log(here)
+        sums = [x / here for x in sums[-PIECE + 1 :]] + [np.ones(len(model))]
+    return scale
+
+
 def log_likelihoods(new: list[str], model: LanguageModel) -> np.ndarray:
     """(word, language): log of the sum over all segmentations."""
+    long = [k for k, w in enumerate(new) if len(w) > WORD]
+    if long:
+        out = np.empty((len(new), len(model)))
+        short = np.setdiff1d(np.arange(len(new)), long)
+        out[short] = log_likelihoods([new[k] for k in short], model) if len(short) else 0
+        for k in long:
+            out[k] = _of_long_word(new[k], model)
+        return out
     total = _sums(edges(new, model.pieces), len(new), model.prob)
     ends = np.fromiter((len(w) + 1 for w in new), np.int64, len(new))
     return np.log(np.maximum(total[np.arange(len(new)), ends], 1e-300))
@@ -158,7 +184,7 @@ def fit(labelled: DataFrame, model_file: str, text_col: str = "text", lang_col:
         seen: Counter = Counter()
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                seen.update((lang, w) for w in words(text))
+                seen.update((lang, w[k : k + WORD]) for w in words(text) for k in range(0, len(w), WORD))
             if len(seen) > 200_000:
                 yield pd.DataFrame([(a, w, n) for (a, w), n in seen.items()], columns=["lang", "word", "n"])
                 seen.clear()
@@ -190,8 +216,8 @@ class _Scorer:
         if len(self.at) > CACHED_WORDS:
             self.at, self.rows = {}, self.rows[:0]
         new = [w for w in set().union(*found) if w not in self.at]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), NEW_WORDS):
+            part = new[k : k + NEW_WORDS]
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part)), strict=True))
             self.rows = np.concatenate((self.rows, log_likelihoods(part, self.model)))
         out = []

@@ -51,15 +51,16 @@ LEAST_ESTIMATE = 0.5  # union-sketch estimate of pairs that are verified
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, n, f1, f2, low): set size, set digest and the bottom-k sketch."""
+    """(id, text_hash, n, f1, f2, low): set size, set digest and the bottom-k sketch."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(text, words) for text in pdf["text"]]
             digests = [(len(s), *_digest(s), s[:LISTED].view(np.int64)) for s in sets]
-            yield pd.concat([pdf[["id"]].astype("Int64"), pd.DataFrame(digests, pdf.index, ["n", "f1", "f2", "low"])], axis=1)
+            yield pd.concat([pdf[["id"]].astype("Int64"), pdf[["text_hash"]], pd.DataFrame(digests, pdf.index, ["n", "f1", "f2", "low"])], axis=1)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(build, "id long, n long, f1 long, f2 long, low array<long>")
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return read.mapInPandas(build, "id long, text_hash long, n long, f1 long, f2 long, low array<long>")
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -183,7 +184,7 @@ def long_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+    """One row per document: id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
     drawn = written(sketches(docs, id_col, text_col, words).withColumn("node", F.monotonically_increasing_id()), "sketches")
     classes = written(drawn.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "node")).alias("first")).select("n", "f1", "f2", "first.id", "first.node"), "classes")
     postings = drawn.join(classes.select("node"), "node", "left_semi").select(F.posexplode("low").alias("k", "v"), "node", "n")
@@ -226,6 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = named.join(least, "component").select("n", "f1", "f2", "component_id")
     own = written(classes.join(linked, ["n", "f1", "f2"], "left").select("n", "f1", "f2", F.coalesce("component_id", "id").alias("component_id")), "classes")
     number = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return drawn.select("id", "n", "f1", "f2").join(own, ["n", "f1", "f2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), number.alias("component_id"), (F.col("id") == number).alias("kept")
+    return drawn.select("id", "text_hash", "n", "f1", "f2").join(own, ["n", "f1", "f2"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), number.alias("component_id"), (F.col("id") == number).alias("kept"), "text_hash"
     )

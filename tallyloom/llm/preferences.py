@@ -9,7 +9,8 @@ Column expressions only. Turns are gathered per pair and side; nothing else is g
 
 Edge cases: a null role or text counts as empty; turn heads inside a text are escaped; equal
 conversations give empty completions; a side that is a prefix of the other gives one empty
-completion; turns that repeat a position keep the order of role and text; a pair that lacks a side
+completion; turns that repeat a position keep the order of role and text; turns without an id
+belong to no conversation; a pair that lacks a side
 gives no row; empty tables give an empty result; further columns are ignored.
 """
 

@@ -151,6 +151,10 @@ def test_language_words_sum_all_segmentations():
             return 1.0
         return sum((p[pieces[s[:k]]] if s[:k] in pieces else 1e-8 if k == 1 else 0) * brute(s[k:]) for k in range(1, len(s) + 1) if s[:k] in pieces or k == 1)
 
+    whole = [langid._of_long_word(w, model)[0] for w in ("ab", "abab", "bb", "aqb")]
+    assert np.allclose(whole, langid.log_likelihoods(["ab", "abab", "bb", "aqb"], model)[:, 0])
+    assert np.isfinite(langid.log_likelihoods(["ab" * 5000, "a"], model)).all()
+    assert langid.words("½ ² ① ⅷ 7_") == [] and langid.words("x²y Ab") == ["x", "y", "ab"]
     for w in ("ab", "abab", "bb", "aqb"):
         assert np.isclose(np.exp(langid.log_likelihoods([w], model)[0, 0]), brute("▁" + w))
 
@@ -158,11 +162,11 @@ def test_language_words_sum_all_segmentations():
 def test_language_id(spark):
     rng = random.Random(1)
     words = {"en": "the and that with thing have this from".split(), "de": "der und nicht mit das sein für über".split()}
-    texts = [" ".join(rng.choices(words[x], k=30)) for x in ["en", "de"] * 60] + [None, "", "123 --", "The"]
-    langs = ["en", "de"] * 60 + [None] * 4
+    texts = [" ".join(rng.choices(words[x], k=30)) for x in ["en", "de"] * 60] + [None, "", "123 --", "The", "½ ² ⅷ", "x" * 30_000]
+    langs = ["en", "de"] * 60 + [None] * 6
     rows = {r.doc_id: r for r in langid.identified(frame(spark, texts, langs), PIECE).collect()}
     assert all(rows[i].lang_pred == langs[i] and 0 < rows[i].score <= 1 for i in range(120))
-    assert [rows[i].lang_pred for i in (120, 121, 122)] == ["und"] * 3 and rows[120].score == 0.0 and rows[123].lang_pred in words
+    assert [rows[i].lang_pred for i in (120, 121, 122, 124)] == ["und"] * 4 and rows[125].lang_pred in words and rows[120].score == 0.0 and rows[123].lang_pred in words
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
     assert {r.lang_pred for r in langid.identified(frame(spark, ["hello there"]), PIECE).collect()} == {"und"}
     assert langid.identified(frame(spark, ["x"]).limit(0), PIECE).count() == 0
