@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); ``docs`` is what the stage before it kept. All but the last
 return the columns of documents. Stages are written as Parquet and read again.
+
+Rows are told apart by id and text, so a repeated id costs no other text; rows with a null id pass
+the near and substring stages as they are. Null and empty texts go in the first stage. Empty tables and
+columns of other names are allowed; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tallyloom.llm.exact_dedup import exact_duplicates
 
     _few_rows_a_batch(spark)
-    gone = exact_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("text_sha256")), "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tallyloom.llm.near_dedup import near_duplicates
 
     _few_rows_a_batch(spark)
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = near_duplicates(docs).where("not kept").select("doc_id", "text_hash")
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
