@@ -7,8 +7,9 @@ left; the forward score of what is still open is an exact heuristic, so segmenta
 the queue in order of score.
 
 The lattice falls apart wherever no piece of the vocabulary holds the two neighbouring characters;
-there a text is cut, and each worker keeps the two best segmentations of the parts it has met. A
-text's N best then deviate from the best only in its N - 1 parts with the smallest second-best
+there a text is cut, and each worker keeps the two best segmentations of the parts it has met. New parts
+of many texts go through the lattice together: a trie of the pieces, forward and backward scores, as
+arrays. A text's N best then deviate from the best only in its N - 1 parts with the smallest second-best
 loss, which a second search over parts combines. The result equals a search over the whole lattice.
 
 Edge cases: a null or empty text has one segmentation, of no pieces, with score 0; fewer
@@ -34,6 +35,8 @@ from .common import nullable, resident
 from .tokens import LATE_MARK, LONG_SPACE, in_slices
 
 CACHED_PARTS = 1_200_000  # per worker; later parts are searched each time they come
+LONG_PART = 64  # longer parts are searched one by one, and not kept
+PARTS_AT_ONCE = 16_384
 SPACE = "▁"
 
 _RUNS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -53,20 +56,31 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10.0
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        chars = sorted({c for b in self.bigrams for c in b})
-        self.number = np.zeros(sys.maxunicode + 1, np.int32)  # of characters in bigrams, from 1
+        chars = sorted({c for p in self.pieces for c in p})
+        self.number = np.zeros(sys.maxunicode + 1, np.int32)  # of characters in pieces, from 1
         self.number[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
-        self.joint = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        first, second = (self.number[[ord(b[k]) for b in self.bigrams]] for k in (0, 1))
-        self.joint[first, second] = True
+        self.known = {c for c in chars if c in self.pieces}
+        first, second = (self.number[[ord(b[k]) for b in self.bigrams]].astype(np.int64) for k in (0, 1))
+        self.width = len(chars) + 1
+        self.joint = np.sort(first * self.width + second)
+        nodes = {"": 0}  # a trie; its steps by parent and character, in order
+        for p in self.pieces:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        steps = np.array([nodes[p[:-1]] * self.width + self.number[ord(p[-1])] for p in nodes if p], np.int64)
+        order = np.argsort(steps)
+        self.step, self.to = steps[order], order + 1
+        self.piece_at = np.array([self.pieces.get(p, (-1, 0.0))[0] for p in nodes], np.int64)
+        self.score_at = np.array([self.pieces.get(p, (-1, 0.0))[1] for p in nodes])
         # spaces and line breaks only start pieces, and no piece has a letter or digit before a comma or stop
         self.plain = not any(
             b[1] == SPACE and b[0] != SPACE or "\n" in b or b[1] in ".," and b[0].isalnum() for b in self.bigrams
         )
-        self.spelling: dict[int, bytes] = {}
-        self.ids: dict[str, bytes] = {}
-        self.score: dict[str, float] = {}
-        self.loss: dict[str, float] = {}  # of the second-best segmentation
+        spelled = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode() for i in ids]
+        self.spelling = np.array(spelled, object)
+        self.index: dict[str, int] = {}  # of parts met
+        self.ids: list[bytes] = []
+        self.score, self.loss = np.zeros(1024), np.zeros(1024)  # loss of the second-best segmentation
 
     def lattice(self, s: str) -> tuple[list[float], list]:
         """Forward Viterbi: the best score of every prefix, and per end position the edges (start, score, piece)."""
@@ -156,34 +170,116 @@ class Vocabulary:
         if len(part) < 64:
             at = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.bigrams), len(part)]
         else:
-            c = self.number[np.frombuffer(part.encode("utf-32-le", "replace"), "<u4")]
-            at = [0, *(np.flatnonzero(~self.joint[c[:-1], c[1:]]) + 1).tolist(), len(part)]
+            c = self.number[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")]
+            at = [0, *(np.flatnonzero(~self._joined(c[:-1], c[1:])) + 1).tolist(), len(part)]
         return [part[a:b] for a, b in zip(at, at[1:], strict=False)]
 
+    def _joined(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether some piece holds these neighbouring characters."""
+        key = first.astype(np.int64) * self.width + second
+        return self.joint[np.minimum(np.searchsorted(self.joint, key), len(self.joint) - 1)] == key
+
+    def _learn(self, parts: list[str]) -> None:
+        """Best segmentation, score and loss of new parts."""
+        easy = [p for p in parts if len(p) <= LONG_PART and self.known.issuperset(p)]
+        for at in range(0, len(easy), PARTS_AT_ONCE):
+            self._keep(easy[at : at + PARTS_AT_ONCE], *self._best_of_all(easy[at : at + PARTS_AT_ONCE]))
+        seen, own = set(easy), len(parts) - len(easy)
+        if own:
+            rest = sorted((p for p in parts if p not in seen), key=len)  # the longest at the end, which goes again
+            found = [list(map(self.best_and_loss, self.split(p))) for p in rest]  # a part's own pieces are combined once
+            ids = [np.array([i for x, _, _ in few for i in x], "<u4").tobytes() for few in found]
+            self._keep(rest, ids, [sum(x for _, x, _ in few) for few in found], [min(x for _, _, x in few) for few in found])
+
+    def _keep(self, parts: list[str], ids: list[bytes], score: list[float] | np.ndarray, loss: list[float] | np.ndarray) -> None:
+        n = len(self.ids)
+        self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.ids += ids
+        if len(self.ids) > len(self.score):
+            self.score, self.loss = (np.concatenate((x[:n], np.zeros(len(self.ids)))) for x in (self.score, self.loss))
+        self.score[n : len(self.ids)], self.loss[n : len(self.ids)] = score, loss
+
+    def _best_of_all(self, parts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids, score, loss) of short parts of known characters: all lattices at once, edges as arrays."""
+        c = self.number[np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le"), "<u4")]  # every part ends with a 0
+        n = len(c)
+        fresh = np.r_[True, ~self._joined(c[:-1], c[1:])]  # where a lattice starts, and what follows its end
+        at, node, reach, found = np.flatnonzero(c), np.zeros(np.count_nonzero(c), np.int64), 0, []
+        while len(at):
+            key = node * self.width + c[at + reach]
+            k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            own = self.step[k] == key
+            at, node, reach = at[own], self.to[k[own]], reach + 1
+            hit = self.piece_at[node] >= 0
+            found.append((at[hit], at[hit] + reach, node[hit]))
+        a, b, node = map(np.concatenate, zip(*found, strict=True))  # edges over the characters a to b - 1
+        head = np.flatnonzero(fresh)
+        begin = head[np.cumsum(fresh) - 1]
+        # forward scores of what ends with a character; n stands for nothing
+        ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
+        order = np.lexsort((a, b, b - begin[a]))
+        a, b, node = a[order], b[order], node[order]
+        score, before, after = self.score_at[node], np.where(fresh[a], n, a - 1), np.where(fresh[b], n, b)
+        for lo, hi in _ranges(b - begin[a]):
+            first = lo + np.flatnonzero(np.r_[True, b[lo + 1 : hi] != b[lo : hi - 1]])
+            ahead[b[first] - 1] = np.maximum.reduceat(ahead[before[lo:hi]] + score[lo:hi], first - lo)
+        top = np.flatnonzero(ahead[before] + score == ahead[b - 1])
+        edge = np.zeros(n, np.int64)  # of the best path, by its last character
+        edge[b[top[::-1]] - 1] = top[::-1]  # the first of equal ones
+        on, last = np.zeros(len(a), bool), np.flatnonzero(fresh[1:] & (c[:-1] > 0))
+        ends = last
+        while len(last):
+            on[edge[last]] = True
+            last = before[edge[last]]
+            last = last[last < n]
+        # backward scores, and the best path through each edge that is not on the best path
+        order = np.lexsort((a, begin[a] - a))
+        for lo, hi in _ranges((a - begin[a])[order]):
+            own = order[lo:hi]
+            first = np.flatnonzero(np.r_[True, a[own[1:]] != a[own[:-1]]])
+            behind[a[own[first]]] = np.maximum.reduceat(behind[after[own]] + score[own], first)
+        through = np.where(on, -np.inf, ahead[before] + (behind[after] + score))
+        second = np.full(n, -np.inf)
+        np.maximum.at(second, begin[a], through)
+        loss = ahead[ends] - second[begin[ends]]
+        part = np.cumsum(c == 0)  # of each character
+        first = np.flatnonzero(np.r_[True, part[ends[1:]] != part[ends[:-1]]])
+        path = np.flatnonzero(on)
+        path = path[np.argsort(b[path])]
+        cut = np.r_[0, np.cumsum(np.bincount(part[a[path]], minlength=len(parts)))] * 4
+        raw = self.piece_at[node[path]].astype("<u4").tobytes()
+        return [raw[x:y] for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False)], np.add.reduceat(ahead[ends], first), np.minimum.reduceat(loss, first)
+
+    def segmented_all(self, texts: list[str], n: int) -> Iterator[list[tuple[float, bytes]]]:
+        """Per text the n best segmentations: (score, ids as little-endian 32-bit)."""
+        index, kept = self.index, len(self.ids)
+        rows = [self.cut(t.replace("\0", "\ufffd")) if t else [] for t in texts]
+        found = [list(map(index.get, parts)) for parts in rows]
+        new = {p: None for parts, at in zip(rows, found, strict=True) if None in at for p, k in zip(parts, at, strict=True) if k is None}
+        if new:
+            self._learn(list(new))
+        for parts, at in zip(rows, found, strict=True):
+            yield self._n_best(parts, list(map(index.__getitem__, parts)) if new and None in at else at, n)
+        if kept <= CACHED_PARTS:  # long parts are the last of the new ones
+            while len(self.ids) > kept and len(next(reversed(index))) > LONG_PART:
+                index.popitem()
+                self.ids.pop()
+        else:
+            for p in new:
+                del index[p]
+            del self.ids[kept:]
+
     def segmented(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a whole text: (score, ids as little-endian 32-bit)."""
-        if not text:
+        return list(self.segmented_all([text], n))[0]
+
+    def _n_best(self, parts: list[str], at: list[int], n: int) -> list[tuple[float, bytes]]:
+        if not parts:
             return [(0.0, b"")]
-        text = text.replace("\0", "\ufffd")
-        parts = self.cut(text)
-        ids, new = self.ids, []
-        try:
-            row = list(map(ids.__getitem__, parts))
-        except KeyError:
-            new = [p for p in set(parts) if p not in ids]
-            for p in new:  # a part's own pieces are combined once and kept as one
-                few = list(map(self.best_and_loss, self.split(p)))
-                ids[p] = np.array([i for x, _, _ in few for i in x], "<u4").tobytes()
-                self.score[p], self.loss[p] = sum(x for _, x, _ in few), min(x for _, _, x in few)
-            row = list(map(ids.__getitem__, parts))
-        loss = np.fromiter(map(self.loss.__getitem__, parts), np.float64, len(parts))
-        total = float(np.fromiter(map(self.score.__getitem__, parts), np.float64, len(parts)).sum())
-        full = len(ids) > CACHED_PARTS
-        for p in new:
-            if full or len(p) > 64:
-                del ids[p], self.score[p], self.loss[p]
+        own = np.array(at)
+        row, total = list(map(self.ids.__getitem__, at)), float(self.score[own].sum())
         out = [(total, b"".join(row))] if n == 1 else []
         if n > 1:
+            loss = self.loss[own]
             near = np.argsort(loss, kind="stable")[: n - 1]
             near = np.sort(near[np.isfinite(loss[near])])
             choices = [self._combined(self.split(parts[k]), n) for k in near]
@@ -205,13 +301,14 @@ class Vocabulary:
             out.append((sum(s for s, _ in chosen), np.array([i for _, ids in chosen for i in ids], "<u4").tobytes()))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        try:
-            out = b"".join(map(self.spelling.__getitem__, ids))
-        except KeyError:
-            self.spelling.update((i, bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode()) for i in set(ids))
-            out = b"".join(map(self.spelling.__getitem__, ids))
-        return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return b"".join(self.spelling[ids].tolist()).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
+
+def _ranges(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of equal neighbours."""
+    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return zip(edges, edges[1:], strict=False)
 
 
 def _cheapest(costs: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -246,8 +343,8 @@ def n_best(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "doc_id",
             names = ids_of(pdf["id"])
             for first, texts in in_slices(pdf["text"].tolist()):
                 out = []
-                for k, text in enumerate(texts, first):
-                    out += [(names[k], r, s, len(ids) // 4, ids) for r, (s, ids) in enumerate(v.segmented(text, n), 1)]
+                for k, best in enumerate(v.segmented_all(texts, n), first):
+                    out += [(names[k], r, s, len(ids) // 4, ids) for r, (s, ids) in enumerate(best, 1)]
                 yield pd.DataFrame(out, columns=["id", "rank", "score", "n_pieces", "ids"]).astype({"id": object})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -264,7 +361,7 @@ def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model_file)
         for pdf in batches:
-            texts = [None if x is None else v.decode(np.frombuffer(x, "<u4").tolist()) for x in pdf[ids_col]]
+            texts = [None if x is None else v.decode(np.frombuffer(x, "<u4")) for x in pdf[ids_col]]
             yield nullable(pdf, kinds).assign(**{text_col: pd.Series(texts, pdf.index, object)})
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
