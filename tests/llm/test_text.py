@@ -190,6 +190,20 @@ def test_nbest_is_the_whole_lattice(vocabulary, text):
     assert all(vocabulary.decode(np.frombuffer(i, "<u4").tolist()) == text for _, i in got)
 
 
+def test_nbest_parts_together_are_parts_alone(vocabulary):
+    rng = random.Random(5)
+    parts = list({"".join(rng.choices("▁theandirsouéü,.", k=rng.randint(1, 40))) for _ in range(300)} | {"▁", "a", "▁the"})
+    assert all(map(vocabulary.known.issuperset, parts)) and not vocabulary.known.issuperset("\n")  # spelled in bytes, so not searched together
+    for p, ids, score, loss in zip(parts, *vocabulary._best_of_all(parts), strict=True):
+        few = list(map(vocabulary.best_and_loss, vocabulary.split(p)))
+        assert ids == np.array([i for x, _, _ in few for i in x], "<u4").tobytes()
+        assert np.isclose(score, sum(x for _, x, _ in few)) and (loss == (want := min(x for _, _, x in few)) or np.isclose(loss, want))
+    texts = ["so, it is", "日本 the", "x" * 200, "", "the " * 50]
+    met = len(vocabulary.ids)
+    assert list(vocabulary.segmented_all(texts, 3)) == [vocabulary.segmented(t, 3) for t in texts]
+    assert max(map(len, vocabulary.index)) <= nbest.LONG_PART and len(vocabulary.ids) == len(vocabulary.index) > met - 1
+
+
 def test_nbest_is_brute_force(vocabulary):
     s = "▁there"
 
