@@ -52,7 +52,8 @@ def match_lookup(matches: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def report_document(score: DataFrame, matches: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """One JSON text per row kind: the report as lines, so it is written in parallel."""
-    line = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("body"))
-    return line(score, "metrics").unionByName(line(matches, "match")).unionByName(line(exceptions, "exception"))
+    """(kind, body): a JSON text per row, null fields included and rates with six digits, so the report is written in parallel."""
+    rates = score.select(*[F.col(c).cast("decimal(9,6)").alias(c) if t == "double" else F.col(c) for c, t in score.dtypes])
+    line = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
+    return line(rates, "metrics").unionByName(line(matches, "match")).unionByName(line(exceptions.select("record_id", "source", "reason", "exception_type", "precedence", "seq"), "exception"))
 

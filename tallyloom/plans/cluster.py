@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other table has."""
+    return f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written once as Parquet and read back, so later steps and retries start from here."""
-    path = f"{shared_dir(df.sparkSession)}/tallyloom-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

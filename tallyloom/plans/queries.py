@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import consolidate, corrections, integrity, matching, report, scoring, split, verdicts
+from ..sources import tables
 from . import sql
+from .cluster import new_path, staged
 from .reconcile import Reconciliation
 from .workload import Workload, degrade_reference
 
@@ -135,6 +137,24 @@ def corrections_load(c: Case) -> DataFrame:
     return c.work.corrections().select("record_id", "source", "decision", "corrected_match_id", "score")
 
 
+@query("SELECT settlement_id, payment_id, gross, fee, tax, net, settled_at, utr, currency, row_number() OVER (ORDER BY settlement_id) - 1 AS seq FROM settlements")
+def read_json_settlements(c: Case) -> DataFrame:
+    """Written in the exchange format and read back; ``seq`` is the rank by id."""
+    path = new_path(c.spark, "json")
+    tables.write_json(c.work.settlements(), path, "settlements")
+    return tables.read_json(c.spark, path, "settlements", "settlement_id")
+
+
+@query("SELECT record_id, source, decision, corrected_match_id, score, true AS stamped FROM log")
+def corrections_append(c: Case) -> DataFrame:
+    """Accepts, then rejects appended to a log; a missing first log falls back to it."""
+    path, rows = new_path(c.spark, "log"), c.work.corrections()
+    for decision in ("accept", "reject"):
+        tables.append_corrections(rows.where(F.col("decision") == decision), path)
+    read = tables.read_corrections(c.spark, new_path(c.spark, "none"), path)
+    return read.select("record_id", "source", "decision", "corrected_match_id", "score", F.col("ts").isNotNull().alias("stamped"))
+
+
 # ---------------------------------------------------------------- integrity
 
 
@@ -373,6 +393,25 @@ def route_verdicts(c: Case) -> DataFrame:
     return one.union(left.select(F.lit("exception"), "record_id", "source", F.lit(None).cast("double"), "reason"))
 
 
+def _cautious() -> Callable[[dict], str]:
+    """A resolver for the registered query: it takes pairs of one amount and cannot judge others far below the threshold."""
+
+    def resolve(pair: dict) -> str:
+        if pair["reasoning"].startswith("amount off"):
+            if pair["score"] < 0.7:
+                raise ValueError("amounts differ")
+            return '{"verdict": "unsure"}'
+        return '{"verdict": "match", "reasoning": "same amount"}'
+
+    return resolve
+
+
+@query("""SELECT bank_credit_id, settlement_id, CASE WHEN NOT starts_with(reasoning, 'amount off') THEN '{"verdict": "match", "reasoning": "same amount"}'
+    WHEN score >= 0.7::DOUBLE THEN '{"verdict": "unsure"}' END AS reply, CASE WHEN starts_with(reasoning, 'amount off') AND score < 0.7::DOUBLE THEN 'amounts differ' END AS error FROM amb""")
+def resolve_verdicts(c: Case) -> DataFrame:
+    return staged(verdicts.resolved(c.plain.ambiguous, _cautious), "replies")  # each pair is asked once
+
+
 @query(f"SELECT {EXC} FROM nollmx")
 def verdicts_unavailable(c: Case) -> DataFrame:
     return c.plain.verdicts[1]
@@ -538,7 +577,10 @@ def match_lookup(c: Case) -> DataFrame:
     return report.match_lookup(c.plain.matches, some.select(F.col("bank_credit_id").alias("id")).union(some.select("settlement_id")))
 
 
-@query()
+@query("""SELECT 'metrics' AS kind, printf('{"precision":%.6f,"recall":%.6f,"match_rate":%.6f,"fp_rate":%.6f}', precision, recall, match_rate, fp_rate) AS body FROM head_0
+  UNION ALL SELECT 'match', to_json({'bank_credit_id': bank_credit_id, 'settlement_id': settlement_id, 'components': components, 'confidence': confidence, 'matched_by': matched_by,
+    'reasoning': reasoning, 'pass_order': pass_order})::VARCHAR FROM matches_0
+  UNION ALL SELECT 'exception', to_json({'record_id': record_id, 'source': source, 'reason': reason, 'exception_type': exception_type, 'precedence': precedence, 'seq': seq})::VARCHAR FROM exc_0""")
 def report_document(c: Case) -> DataFrame:
     return report.report_document(score_headline(c), c.plain.matches, c.plain.exceptions)
 

@@ -27,9 +27,10 @@ JSON_FIELDS = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(hadoop) and (not folder or store.getFileStatus(hadoop).isDirectory())
 
 
 def read_json(spark: SparkSession, path: str, table: str, id_column: str | None = None) -> DataFrame:
@@ -40,8 +41,8 @@ def read_json(spark: SparkSession, path: str, table: str, id_column: str | None
     """
     fields = JSON_FIELDS[table]
     raw = ", ".join(f"`{k}` {'decimal(18,2)' if v.endswith(' cents') else 'string' if v.endswith((' date', ' timestamp')) else v.split(' ', 1)[1]}" for k, v in fields.items())
-    # a multi-line file cannot be split: one task per file, as the format asks for
-    rows = spark.read.schema(raw + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    # an array file cannot be split and takes one task, as the format asks for; a folder's lines are split
+    rows = spark.read.schema(raw + ", _corrupt_record string").option("multiLine", not _exists(spark, path, folder=True)).option("mode", "PERMISSIVE").json(path)
     out = []
     for k, v in fields.items():
         name, kind = v.split(" ", 1)
@@ -84,11 +85,24 @@ def read_corrections(spark: SparkSession, path: str, fallback: str | None = None
     return empty
 
 
+def write_json(rows: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
+    """A folder of JSON lines in the exchange format; columns that it does not name stay out."""
+    columns = []
+    for field, v in JSON_FIELDS[table].items():
+        name, kind = v.split(" ", 1)
+        if name in rows.columns:
+            x = F.col(name)
+            if kind == "cents":
+                x = (x.cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+            elif kind == "timestamp":
+                x = F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+            columns.append(x.alias(field))
+    rows.select(*columns).write.mode(mode).json(path)
+
+
 def append_corrections(rows: DataFrame, path: str) -> None:
     """Append decisions with the time of writing, as JSON lines in the exchange format."""
-    names = {v.split(" ", 1)[0]: k for k, v in JSON_FIELDS["corrections"].items()}
-    stamped = rows.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
-    stamped.select([F.col(c).alias(names[c]) for c in stamped.columns if c in names]).write.mode("append").json(path)
+    write_json(rows.withColumn("ts", F.current_timestamp()), path, "corrections", "append")
 
 
 def write_report(document: DataFrame, matches: DataFrame, exceptions: DataFrame, folder: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-SOME = ["integrity_check", "exact_match", "fuzzy_match", "split_match", "reconcile_matches", "reconcile_exceptions", "score_by_level"]
+SOME = ["integrity_check", "exact_match", "fuzzy_match", "split_match", "reconcile_matches", "reconcile_exceptions", "score_by_level", "integrity_fee_tax", "read_json_settlements", "corrections_append", "resolve_verdicts", "report_document"]
 
 
 def test_entry(spark):

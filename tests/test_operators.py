@@ -219,6 +219,9 @@ def test_sources(spark, tmp_path):
     tables.append_corrections(decisions, str(tmp_path / "log"))
     read = tables.read_corrections(spark, str(tmp_path / "bad.json"), str(tmp_path / "log"))
     assert read.count() == 2 and read.first()["ts"] is not None
+    many = log(spark, *[(f"B{i}", "bank", "accept", f"S{i}", None, 0.7) for i in range(300)]).coalesce(1)
+    tables.append_corrections(many, str(tmp_path / "long"))
+    assert tables.read_corrections(spark, str(tmp_path / "long")).count() == 300
     tables.write_report(report.report_document(scoring.headline(spark.createDataFrame([(1, 0, 0, 1, 1)], "tp int, fp int, fn int, n_predicted int, n_true int")), spark.createDataFrame([], schemas.MATCHES), spark.createDataFrame([], schemas.EXCEPTIONS)), spark.createDataFrame([], schemas.MATCHES), spark.createDataFrame([], schemas.EXCEPTIONS), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "document")).count() == 1
 
