@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,9 +90,48 @@ def op9_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .bpe import decoded, encoded
+
+    tokenizer = path("word_bpe_49k.json")
+    found = decoded(encoded(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def looped(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The contract's change of one document in ten: from a word on it repeats itself."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words or doc_id is None:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    found = periodic_runs(_table(spark, sf_dir, "documents"), rewrite=looped)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.encode(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), "utf-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_speculative_bpe": op11_speculative_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "op2_vector_best_fit": op2_vector_best_fit,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
