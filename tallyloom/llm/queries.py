@@ -127,11 +127,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"), misspell=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_speculative_bpe": op11_speculative_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_suffix_tiling": op13_prefix_suffix_tiling,
     "op2_vector_best_fit": op2_vector_best_fit,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
