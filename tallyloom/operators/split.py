@@ -1,19 +1,35 @@
-"""Batched payouts: one credit for several settlements, by bounded subset sums."""
+"""Batched payouts: one credit for several settlements, by bounded subset sums.
+
+Credits take turns in input order: when one set of settlements is the only one that fits a credit, later
+credits do without them. That order is kept without working in it. Every credit searches at once as if
+nobody came before it (speculate); then those whose pool is changed by the sets found search again (replay),
+until no pool changes. What is right for the first credits can never change later, so this ends with the
+result of taking turns, after as many rounds as the longest chain of credits that take from each other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations, groupby
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ReconConfig
 from ..functions import columns as C
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
+FEW = 10  # up to so many amounts all subsets are summed
+CHUNK = 4096  # taken settlements that a list of candidates holds before it is cut
+CUTS = 64  # pieces of a longer list, by the turn at which they are taken
+
+
+# ---------------------------------------------------------------- subset sums
+
 
 @lru_cache(maxsize=64)
 def _subsets(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,6 +41,75 @@ def _subsets(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.fromiter(map(len, rows), np.int64, len(rows))
 
 
+def _by_prefixes(amounts: list[int], target: int, tolerance: int, most: int, limit: int) -> list[tuple[int, ...]]:
+    """Every subset is summed; each prefix has to stay below the upper bound, which matters for negative amounts."""
+    rows, sizes = _subsets(len(amounts), most)
+    value, found = np.append(np.asarray(amounts, np.int64), 0), []
+    for a in range(0, len(rows), 65536):
+        sums = value[rows[a : a + 65536]].cumsum(axis=1)
+        hit = (np.abs(sums[:, -1] - target) <= tolerance) & (sums <= target + tolerance).all(axis=1)
+        found += [tuple(rows[a + i, : sizes[a + i]].tolist()) for i in np.flatnonzero(hit)[: limit - len(found)].tolist()]
+        if len(found) == limit:
+            break
+    return found
+
+
+@lru_cache(maxsize=128)
+def _walk(first: int, end: int, most: int) -> tuple[list[tuple[int, ...]], np.ndarray, list[np.ndarray], list[int], list[int]]:
+    """Subsets of up to ``most`` of the items from first to end, depth first.
+
+    As tuples, as rows padded by -1, their numbers by size, and the times of a walk at which each is
+    entered (before all that extend it) and left (after them).
+    """
+    sets = sorted(c for k in range(min(end - first, most) + 1) for c in combinations(range(first, end), k))
+    rows, entered, left, open_, clock = np.full((len(sets), most), -1, np.int64), [0] * len(sets), [0] * len(sets), [], 0
+    for i, c in enumerate(sets):
+        rows[i, : len(c)] = c
+        while open_ and sets[open_[-1]] != c[: len(sets[open_[-1]])]:
+            left[open_.pop()] = clock
+            clock += 1
+        entered[i] = clock
+        clock += 1
+        open_.append(i)
+    while open_:
+        left[open_.pop()] = clock
+        clock += 1
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return sets, rows, [np.flatnonzero(sizes == k) for k in range(most + 1)], entered, left
+
+
+def _by_halves(amounts: list[int], target: int, tolerance: int, most: int, limit: int) -> list[tuple[int, ...]]:
+    """Meet in the middle: each sum of the first half is completed by a range of the sorted sums of the second.
+
+    For the depth-first order, a set of the first half alone counts at the time it is entered, and one with items
+    of the second half at the time it is left, since all sets that extend it within the first half come before.
+    """
+    half = len(amounts) // 2
+    a_sets, a_rows, a_sized, entered, left = _walk(0, half, most)
+    b_sets, b_rows, b_sized, _, _ = _walk(half, len(amounts), most)
+    value = np.append(np.asarray(amounts, np.int64), 0)
+    a_sums, b_sums = value[a_rows].sum(axis=1), value[b_rows].sum(axis=1)
+    found = [(entered[i], -1, a_sets[i]) for k in range(2, min(half, most) + 1) for i in a_sized[k][np.abs(a_sums[a_sized[k]] - target) <= tolerance].tolist()]
+    ranges = []  # (time left, set of the first half, its completions from-to in an order of the second half by sum)
+    for k in range(1, most + 1):
+        order = b_sized[k][np.argsort(b_sums[b_sized[k]], kind="stable")]
+        own = np.concatenate([a_sized[j] for j in range(max(0, 2 - k), most - k + 1)])
+        low = np.searchsorted(b_sums[order], target - tolerance - a_sums[own], side="left")
+        high = np.searchsorted(b_sums[order], target + tolerance - a_sums[own], side="right")
+        some = np.flatnonzero(low < high)
+        ranges += [(left[i], i, order[a:b]) for i, a, b in zip(own[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True)]
+    ranges.sort(key=lambda r: r[0])
+    n, last = 0, None
+    for time, i, ends in ranges:
+        if n >= limit and i != last:
+            break  # all others come later
+        last = i
+        first = np.partition(ends, limit - 1)[:limit] if len(ends) > limit else ends
+        found += [(time, b, a_sets[i] + b_sets[b]) for b in first.tolist()]
+        n += len(first)
+    return [c for _, _, c in sorted(found)[:limit]]
+
+
 def subset_sums(amounts: list[int], target: int, config: ReconConfig = DEFAULT, limit: int | None = None) -> list[tuple[int, ...]]:
     """The first ``limit`` subsets (default: as many as are listed) whose sum is within tolerance of the target.
 
@@ -32,25 +117,17 @@ def subset_sums(amounts: list[int], target: int, config: ReconConfig = DEFAULT,
     negative amounts: there every prefix is tested.
     """
     limit = limit or config.split_listed
-    tolerance = max(abs(target) * config.amount_tolerance_pct, config.amount_tolerance_abs) + 1e-9
+    tolerance = int(max(abs(target) * config.amount_tolerance_pct, config.amount_tolerance_abs) + 1e-9)
     if len(amounts) < 2:
         return []
     up = sorted(amounts)
-    if min(amounts) >= 0 and (sum(up[-config.split_combo :]) < target - tolerance or up[0] + up[1] > target + tolerance):
+    if up[0] >= 0 and (sum(up[-config.split_combo :]) < target - tolerance or up[0] + up[1] > target + tolerance):
         return []
-    rows, sizes = _subsets(len(amounts), config.split_combo)
-    value = np.append(np.asarray(amounts, np.int64), 0)
-    found = []
-    for a in range(0, len(rows), 65536):
-        part = value[rows[a : a + 65536]]
-        hit = np.abs(part.sum(axis=1) - target) <= tolerance
-        if min(amounts) < 0:
-            hit &= (part.cumsum(axis=1) <= target + tolerance).all(axis=1)
-        for i in np.flatnonzero(hit):
-            found.append(tuple(int(x) for x in rows[a + i, : sizes[a + i]]))
-            if len(found) == limit:
-                return found
-    return found
+    search = _by_prefixes if up[0] < 0 or len(amounts) <= FEW else _by_halves
+    return search(amounts, target, tolerance, config.split_combo, limit)
+
+
+# ---------------------------------------------------------------- candidates
 
 
 def linked(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
@@ -80,82 +157,118 @@ def pools(pairs: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
 _RESULT = "bank_credit_id string, b_seq long, amount long, n_solutions int, components array<string>, listed string, consumed boolean"
 
 
-_NAMES = [x.split(" ")[0] for x in _RESULT.split(", ")]
+def _lists(settlements: DataFrame, centres: DataFrame, key: list[str], config: ReconConfig) -> tuple[DataFrame, DataFrame]:
+    """(cuts, lists): for each key and day of a credit, what its pool is drawn from, whatever its turn.
 
+    settlements: s_seq, settlement_id, net, the key, settled_at, and taken_at, the turn (place of the credit) at
+    which a settlement is taken, or null. A pool is the first ``split_pool`` by s_seq of those not taken before the
+    credit's turn. Among the settlements never taken the first ``split_pool`` suffice for every credit (Spark limits
+    such groups before the shuffle). Taken ones are cut by turn where they are many: a list holds those of
+    its own turns, and of all later ones the first ``split_pool``; so no list grows with a popular day.
+    """
+    days = F.sequence(F.date_sub("settled_at", config.split_window_days), F.date_add("settled_at", config.split_window_days))
+    at = [*key, "credited_at"]
+    near = settlements.withColumn("credited_at", F.explode(days)).join(centres, at)
+    cut = F.when(F.count("taken_at") > CHUNK, F.percentile_approx("taken_at", [k / CUTS for k in range(1, CUTS)], 10_000)).otherwise(F.array().cast("array<long>"))
+    cuts = near.where("taken_at is not null").groupBy(*at).agg(cut.alias("cuts"))
+    never = near.where("taken_at is null").withColumn("part", F.lit(CUTS)).drop("cuts")
+    taken = near.where("taken_at is not null").join(cuts, at).withColumn("part", _turn(F.col("taken_at"))).drop("cuts")
+    columns = [*at, "part", "s_seq", "settlement_id", "net", "taken_at"]
+    first = F.row_number().over(Window.partitionBy(*at, "part").orderBy("s_seq"))
+    heads = never.select(*columns).unionByName(taken.select(*columns)).withColumn("n", first).where(F.col("n") <= config.split_pool).drop("n")
+    # the first of all later parts, for the parts that some credit may ask for
+    parts = centres.join(cuts, at, "left").withColumn("own", F.explode(F.sequence(F.lit(0), F.coalesce(F.size("cuts"), F.lit(0))))).drop("cuts")
+    after = heads.join(parts, at).where("part > own").drop("part").withColumnRenamed("own", "part")
+    after = after.withColumn("n", first).where(F.col("n") <= config.split_pool).drop("n")
+    both = taken.select(*columns).unionByName(after.select(*columns))
+    one = F.struct("s_seq", "settlement_id", "net", "taken_at")
+    return cuts, both.groupBy(*at, "part").agg(F.array_sort(F.collect_list(one)).alias("have"))
+
+
+def _turn(seq: Column) -> Column:
+    """The part of a list that a turn belongs to: the number of cuts before it."""
+    return F.size(F.filter("cuts", lambda x: x < seq))
+
+
+def _pools(credits: DataFrame, settlements: DataFrame, key: list[str], config: ReconConfig) -> DataFrame:
+    """(bank_credit_id, have): the first settlements that each credit finds at its turn."""
+    at = [*key, "credited_at"]
+    cuts, lists = _lists(settlements, credits.select(*at).distinct(), key, config)
+    turn = credits.join(cuts, at, "left").withColumn("part", F.coalesce(_turn(F.col("b_seq")), F.lit(0))).drop("cuts")
+    free = F.filter("have", lambda x: x["taken_at"].isNull() | (x["taken_at"] >= F.col("b_seq")))
+    return turn.join(lists, [*at, "part"]).select("bank_credit_id", F.slice(free, 1, config.split_pool).alias("have"))
+
+
+def candidate_pools(credits: DataFrame, settlements: DataFrame, taken: DataFrame | None = None, config: ReconConfig = DEFAULT, linked_only: bool = False) -> DataFrame:
+    """(bank_credit_id, b_seq, amount, settlement_ids, nets): the pool of each credit; without two candidates it is empty.
+
+    taken: (settlement_id, taken_at), or nothing taken. Settlements that carry the credit's reference come before all
+    others if there are two.
+    """
+    bank = credits.select("bank_credit_id", "utr", "amount", "credited_at", "currency", F.col("seq").alias("b_seq"))
+    have = settlements.withColumn("taken_at", F.lit(None).cast("long")) if taken is None else settlements.join(taken, "settlement_id", "left")
+    have = have.select("settlement_id", "net", "settled_at", "currency", "utr", F.col("seq").alias("s_seq"), "taken_at")
+    by_link = have.withColumn("utr", F.explode(F.array_distinct(C.link_keys(F.col("utr")))))
+    found = bank.join(_pools(bank, by_link, ["currency", "utr"], config).where("size(have) >= 2"), "bank_credit_id", "left")
+    if not linked_only:
+        others = _pools(bank, have.drop("utr"), ["currency"], config).where("size(have) >= 2").withColumnRenamed("have", "any")
+        found = found.join(others, "bank_credit_id", "left").withColumn("have", F.coalesce("have", "any"))
+    empty = lambda name, kind: F.coalesce(F.col(f"have.{name}"), F.array().cast(f"array<{kind}>"))
+    return found.select("bank_credit_id", "b_seq", "amount", empty("settlement_id", "string").alias("settlement_ids"), empty("net", "bigint").alias("nets"))
 
-def _one(bank_credit_id: str, b_seq: int, amount: int, names: list[str], nets: list[int], config: ReconConfig) -> tuple:
-    found = subset_sums(nets, int(amount), config)
-    text = " | ".join("+".join(sorted(names[i] for i in c)) for c in found)
-    return bank_credit_id, int(b_seq), int(amount), len(found), [names[i] for i in found[0]] if found else None, text, len(found) == 1
 
+# ---------------------------------------------------------------- speculate and replay
 
-def solve_linked(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
-    """Subset search of linked credits; credits of one reference take turns and consume.
 
-    A batch, the links of one reference, is gathered as an array; tasks take many batches at a time.
-    Columns: bank_credit_id, b_seq, amount, n_solutions (up to the number listed), components of the
-    first, listed, consumed.
-    """
+def _searched(pools: DataFrame, config: ReconConfig) -> DataFrame:
+    """The pools with what the subset search finds in them; pools are dealt evenly, whatever day they are of."""
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for links in pdf["links"]:
-                used: set[str] = set()
-                for _, own in groupby(sorted(links, key=lambda x: (x["b_seq"], x["s_seq"])), key=lambda x: x["b_seq"]):
-                    free = [x for x in own if x["settlement_id"] not in used]
-                    if len(free) >= 2:
-                        pool, first = free[: config.split_pool], free[0]
-                        row = _one(first["bank_credit_id"], first["b_seq"], first["amount"], [x["settlement_id"] for x in pool], [x["net"] for x in pool], config)
-                        if row[3] == 1:
-                            used.update(row[4])
-                        out.append(row)
-            yield pd.DataFrame(out, columns=_NAMES)
-
-    spark = credits.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # else few bytes become one task
-    link = F.struct("bank_credit_id", "b_seq", "amount", "settlement_id", "s_seq", "net")
-    return linked(credits, settlements, config).groupBy("utr", "currency").agg(F.collect_list(link).alias("links")).select("links").repartition(parts).mapInPandas(solve, _RESULT)
-
+            for target, names, nets in zip(pdf["amount"], pdf["settlement_ids"], pdf["nets"], strict=True):
+                found = subset_sums(list(map(int, nets)), int(target), config)
+                text = " | ".join("+".join(sorted(names[i] for i in c)) for c in found)
+                out.append((len(found), [names[i] for i in found[0]] if found else None, text, len(found) == 1))
+            yield pd.concat([pdf, pd.DataFrame(out, columns=["n_solutions", "components", "listed", "consumed"], index=pdf.index)], axis=1)
 
-def islands(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT, cut_by: tuple[str, ...] = ()) -> DataFrame:
-    """(currency, *cut_by, day, island): days chained by gaps of at most the window; credits of other islands cannot interact."""
-    key = ["currency", *cut_by]
-    days = credits.select(*key, F.col("credited_at").alias("day")).union(settlements.select(*key, F.col("settled_at").alias("day"))).distinct()
-    before = Window.partitionBy(*key).orderBy("day")
-    start = F.coalesce((F.datediff("day", F.lag("day").over(before)) > config.split_window_days).cast("int"), F.lit(1))
-    return days.withColumn("start", start).withColumn("island", F.sum("start").over(before)).drop("start")
+    spark = pools.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # else few bytes become one task
+    schema = "bank_credit_id string, b_seq long, amount long, settlement_ids array<string>, nets array<long>, n_solutions int, components array<string>, listed string, consumed boolean"
+    return pools.repartition(parts).mapInPandas(search, schema)
 
 
-def solve_full(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT, cut_by: tuple[str, ...] = ()) -> DataFrame:
-    """The general form: any settlement of the window may be a part; credits take turns in input order.
+def solve(credits: DataFrame, settlements: DataFrame, stage: Stage, config: ReconConfig = DEFAULT, linked_only: bool = False) -> DataFrame:
+    """Subset search of all credits, taking turns.
 
-    Sequential inside an island of days, parallel over islands. On a dense calendar an island is a
-    whole currency: give ``cut_by`` (merchant, account) or use :func:`solve_linked`.
+    linked_only: only settlements that carry a credit's reference are tried; else any settlement of the window.
+    Columns: bank_credit_id, b_seq, amount, n_solutions (up to the number listed), components of the first, listed,
+    consumed. Rows: credits with two candidates at their turn.
     """
-    own = islands(credits, settlements, config, cut_by)
-    key = ["currency", *cut_by]
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of its own for either side
-    left = fresh(credits.withColumn("day", F.col("credited_at")).join(own, [*key, "day"]))
-    right = fresh(settlements.withColumn("day", F.col("settled_at")).join(own, [*key, "day"]))
-
-    def solve(bank: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        have, free, out = have.sort_values("seq"), np.ones(len(have), bool), []
-        day = pd.to_datetime(have["day"]).to_numpy("datetime64[D]").astype(np.int64)
-        names, refs = have["settlement_id"].to_numpy(), have["utr"].astype(str).tolist()
-        for _, c in bank.sort_values("seq").rename(columns={"seq": "b_seq"}).iterrows():
-            near = free & (np.abs(day - np.datetime64(pd.Timestamp(c["day"]).date(), "D").astype(np.int64)) <= config.split_window_days)
-            part = near & np.fromiter((r.startswith(f"{c['utr']}_S") for r in refs), bool, len(refs))
-            take = np.flatnonzero(part if part.sum() >= 2 else near)[: config.split_pool]
-            if len(take) < 2:
-                continue
-            row = _one(c["bank_credit_id"], c["b_seq"], c["amount"], names[take].tolist(), have["net"].to_numpy()[take].tolist(), config)
-            if row[3] == 1:
-                free[np.isin(names, row[4])] = False
-            out.append(row)
-        return pd.DataFrame(out, columns=_NAMES)
-
-    return left.groupBy(*key, "island").cogroup(right.groupBy(*key, "island")).applyInPandas(solve, _RESULT)
+    solved = stage(_searched(candidate_pools(credits, settlements, None, config, linked_only).where("size(nets) > 0"), config), "solved")
+    taken, width = None, config.split_window_days
+    where = settlements.select("settlement_id", "currency", "settled_at")
+    while True:
+        now = stage(solved.where("consumed").select(F.explode("components").alias("settlement_id"), "b_seq").groupBy("settlement_id").agg(F.min("b_seq").alias("taken_at")), "taken")
+        if taken is None:
+            changed = now.withColumnRenamed("taken_at", "least")
+        else:
+            both = now.join(taken.withColumnRenamed("taken_at", "before"), "settlement_id", "full").where(~F.col("taken_at").eqNullSafe(F.col("before")))
+            changed = both.select("settlement_id", F.least("taken_at", "before").alias("least"))
+        taken = now
+        # the days around a changed settlement; credits with earlier turns see no change
+        spots = changed.join(where, "settlement_id").groupBy("currency", "settled_at").agg(F.min("least").alias("least"))
+        days = F.explode(F.sequence(F.date_sub("settled_at", width), F.date_add("settled_at", width))).alias("credited_at")
+        spots = spots.select("currency", days, "least").groupBy("currency", "credited_at").agg(F.min("least").alias("least"))
+        seen = credits.join(spots, ["currency", "credited_at"]).where("seq > least").drop("least")
+        old = solved.select("bank_credit_id", F.col("settlement_ids").alias("old"))
+        pools = candidate_pools(seen, settlements, taken, config, linked_only).join(old, "bank_credit_id", "left")
+        other = pools.where("settlement_ids <> coalesce(old, cast(array() as array<string>))").drop("old")
+        stale = stage(_searched(other, config), "stale")
+        if stale.isEmpty():
+            break
+        solved = stage(solved.join(stale, "bank_credit_id", "left_anti").unionByName(stale), "solved")
+    return solved.where("size(nets) > 0").select(*[x.split(" ")[0] for x in _RESULT.split(", ")])
 
 
 def split_matches(solved: DataFrame) -> DataFrame:

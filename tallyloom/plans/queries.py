@@ -31,6 +31,11 @@ class Case:
     def plain(self) -> Reconciliation:
         return Reconciliation(self.work.payments(), self.work.settlements(), self.work.credits())
 
+    @cached_property
+    def general(self) -> Reconciliation:
+        """Any settlement of the window may be a part of a batch."""
+        return Reconciliation(self.work.payments(), self.work.settlements(), self.work.credits(), mode="full")
+
     @cached_property
     def with_verdicts(self) -> Reconciliation:
         run = Reconciliation(self.work.payments(), self.work.settlements(), self.work.credits())
@@ -371,6 +376,12 @@ def split_remaining_settlements(c: Case) -> DataFrame:
     return c.plain.after_split[1].select("settlement_id", "utr", "net")
 
 
+@query(f"SELECT bank_credit_id, b_seq, amount, n_solutions, array_to_string(components, '+') AS components, listed FROM turn_{sql.TURNS}")
+def split_general(c: Case) -> DataFrame:
+    """Batched payouts from any settlement of the window, credits taking turns."""
+    return c.general.solved.select("bank_credit_id", "b_seq", "amount", "n_solutions", F.array_join("components", "+").alias("components"), "listed")
+
+
 # ---------------------------------------------------------------- verdicts
 
 

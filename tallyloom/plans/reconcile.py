@@ -15,16 +15,16 @@ from .cluster import staged
 class Reconciliation:
     """Passes as tables; each is computed when asked for, and written once if later ones read it again.
 
-    mode: ``linked`` (batches by reference, parallel per batch) or ``full`` (any settlement of the
-    window may be a part, sequential per island of days).
+    mode: ``linked`` (only settlements that carry a credit's reference may be parts of it) or ``full`` (any
+    settlement of the window may be a part).
     """
 
     def __init__(
         self, payments: DataFrame, settlements: DataFrame, credits: DataFrame, log: DataFrame | None = None, replies: DataFrame | None = None,
-        config: ReconConfig = DEFAULT, mode: str = "linked", cut_by: tuple[str, ...] = (),
+        config: ReconConfig = DEFAULT, mode: str = "linked",
     ):
         self.payments, self.settlements, self.credits = payments, settlements, credits
-        self.log, self.replies, self.config, self.mode, self.cut_by = log, replies, config, mode, cut_by
+        self.log, self.replies, self.config, self.mode = log, replies, config, mode
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -32,7 +32,7 @@ class Reconciliation:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return integrity.clean(self.settlements, self.flagged)
+        return staged(integrity.clean(self.settlements, self.flagged), "clean")
 
     @cached_property
     def pools(self) -> tuple[DataFrame, DataFrame]:
@@ -72,13 +72,12 @@ class Reconciliation:
         of = lambda source, name: self.other_currency.where(F.col("source") == source).select(F.col("record_id").alias(name))
         bank, settlement = self.after_exact
         bank = matching.without_credits(matching.without_credits(bank, self.assigned), of("bank", "bank_credit_id"))
-        return bank, matching.without_settlements(matching.without_settlements(settlement, self.assigned), of("settlement", "settlement_id"))
+        settlement = matching.without_settlements(matching.without_settlements(settlement, self.assigned), of("settlement", "settlement_id"))
+        return staged(bank, "bank"), staged(settlement, "settlement")
 
     @cached_property
     def solved(self) -> DataFrame:
-        if self.mode == "full":
-            return staged(split.solve_full(*self.after_fuzzy, self.config, self.cut_by), "split")
-        return staged(split.solve_linked(*self.after_fuzzy, self.config), "split")
+        return split.solve(*self.after_fuzzy, staged, self.config, linked_only=self.mode == "linked")
 
     @cached_property
     def split(self) -> DataFrame:

@@ -169,6 +169,35 @@ _passes("", "credits", "clean")
 _passes("_h", "bank1", "setl1")
 
 
+def _turns(rounds: int) -> None:
+    """Batched payouts from any settlement of the window: rounds in which what was taken changes the pools of later credits."""
+    tolerance = "greatest(abs({0}) * 0.02::DOUBLE, 50) + 1e-9"
+    CTE["wide"] = """SELECT bank_credit_id, settlement_id, amount, net, c.seq AS b_seq, s.seq AS s_seq, contains(s.utr, '_S') AND c.utr = split_part(s.utr, '_S', 1) AS linked
+      FROM fb c JOIN fs s ON c.currency = s.currency AND s.settled_at BETWEEN c.credited_at - 5 AND c.credited_at + 5"""
+    CTE["taken_0"] = "SELECT NULL::VARCHAR AS settlement_id, NULL::BIGINT AS taken_at WHERE false"
+    CTE["turn_0"] = "SELECT NULL::VARCHAR AS bank_credit_id, NULL::BIGINT AS b_seq, NULL::BIGINT AS amount, NULL::VARCHAR AS pool, 0 AS n_solutions, NULL::VARCHAR[] AS components, NULL::VARCHAR AS listed WHERE false"
+    for r in range(1, rounds + 1):
+        CTE[f"seen_{r}"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_credit_id ORDER BY s_seq) AS place, count(*) OVER (PARTITION BY bank_credit_id) AS n FROM (
+            SELECT *, sum(linked::INTEGER) OVER (PARTITION BY bank_credit_id) AS n_linked FROM wide LEFT JOIN taken_{r - 1} USING (settlement_id) WHERE taken_at IS NULL OR taken_at >= b_seq)
+          WHERE linked OR n_linked < 2) WHERE place <= 25 AND n >= 2"""
+        CTE[f"keyed_{r}"] = f"SELECT bank_credit_id, b_seq, amount, string_agg(settlement_id, ',' ORDER BY place) AS pool FROM seen_{r} GROUP BY 1, 2, 3"
+        CTE[f"stale_{r}"] = f"SELECT k.* FROM keyed_{r} k LEFT JOIN turn_{r - 1} t USING (bank_credit_id) WHERE t.pool IS DISTINCT FROM k.pool"
+        CTE[f"again_{r}"] = f"SELECT * FROM seen_{r} WHERE bank_credit_id IN (SELECT bank_credit_id FROM stale_{r})"
+        CTE[f"sums_{r}"] = f"""SELECT bank_credit_id, amount, [place] AS path, net AS total, place AS last FROM again_{r}
+          UNION ALL SELECT x.bank_credit_id, x.amount, list_append(path, p.place), total + p.net, p.place
+          FROM sums_{r} x JOIN again_{r} p ON x.bank_credit_id = p.bank_credit_id AND p.place > x.last WHERE len(path) < 6 AND total + p.net <= x.amount + {tolerance.format('x.amount')}"""
+        CTE[f"fits_{r}"] = f"""SELECT *, row_number() OVER (PARTITION BY bank_credit_id ORDER BY path) AS nth FROM sums_{r} WHERE len(path) >= 2 AND abs(total - amount) <= {tolerance.format('amount')}"""
+        CTE[f"sets_{r}"] = f"""SELECT bank_credit_id, nth, list(settlement_id ORDER BY place) AS names FROM (SELECT bank_credit_id, nth, unnest(path) AS place FROM fits_{r} WHERE nth <= 5) JOIN again_{r} USING (bank_credit_id, place) GROUP BY 1, 2"""
+        CTE[f"turn_{r}"] = f"""SELECT s.bank_credit_id, s.b_seq, s.amount, s.pool, coalesce(q.n, 0)::INTEGER AS n_solutions, q.components, coalesce(q.listed, '') AS listed FROM stale_{r} s LEFT JOIN (
+            SELECT bank_credit_id, count(*) AS n, arg_min(names, nth) AS components, string_agg(array_to_string(list_sort(names), '+'), ' | ' ORDER BY nth) AS listed FROM sets_{r} GROUP BY 1) q USING (bank_credit_id)
+          UNION ALL SELECT t.* FROM turn_{r - 1} t JOIN keyed_{r} k USING (bank_credit_id) WHERE t.pool = k.pool"""
+        CTE[f"taken_{r}"] = f"SELECT settlement_id, min(b_seq) AS taken_at FROM (SELECT unnest(components) AS settlement_id, b_seq FROM turn_{r} WHERE n_solutions = 1) GROUP BY 1"
+
+
+TURNS = 6
+_turns(TURNS)
+
+
 def _left(n: str, bank: str, settlement: str) -> None:
     CTE[f"leftb{n}"] = f"""SELECT bank_credit_id AS record_id, 'bank' AS source,
         CASE WHEN linked THEN 'linked settlements do not make up the credit' WHEN plausible THEN 'credit present, settlement missing' ELSE 'nothing near this credit' END AS reason,
@@ -245,7 +274,7 @@ CTE["per_batch"] = """SELECT v.batch_id, coalesce(tp, 0) AS tp, coalesce(p, 0) A
 CTE["batch_head"] = """SELECT batch_id, round(tp::DOUBLE / p, 6) AS precision, round(tp::DOUBLE / t, 6) AS recall, round(tp::DOUBLE / t, 6) AS match_rate, round((p - tp)::DOUBLE / p, 6) AS fp_rate FROM per_batch"""
 
 #: tables that later ones read more than once
-_HEAVY = re.compile(r"^(b|parts|settlements|credits|labels|flagged|exact|xb|xs|cand|e[0-3]|w[0-2]|assigned|cur|link|pool|hit|solved|amb|said|matches|exc|flat|tp|cp)(_\w+)?$")
+_HEAVY = re.compile(r"^(b|parts|settlements|credits|labels|flagged|exact|xb|xs|cand|e[0-3]|w[0-2]|assigned|cur|link|pool|hit|solved|amb|said|matches|exc|flat|tp|cp|wide|taken|turn|seen|keyed|stale|again|fits|sets)(_\w+)?$")
 
 
 def select(body: str) -> str:

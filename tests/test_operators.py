@@ -82,8 +82,8 @@ def test_split_modes(spark):
         spark, ("k1", "K_S9", 3300, DAY, "EUR"), ("k2", "K_S8", 5800, DAY, "EUR"), ("k3", "K_S7", 4600, DAY, "EUR"), ("k4", "K_S6", 4500, DAY, "EUR"),
         ("l1", "L_S1", 1100, DAY, "EUR"), ("l2", "L_S2", 2900, DAY, "EUR"), ("l3", "L_S3", 4800, DAY, "EUR"), ("m1", "M_S1", 700, DAY, "EUR"), ("m2", "M_S2", 900, DAY, "EUR"),
     )
-    for solved in (split.solve_linked(b, s), split.solve_full(b, s)):
-        solved = staged(solved, "solved")
+    for linked_only in (True, False):
+        solved = split.solve(b, s, staged, linked_only=linked_only)
         assert [(r.bank_credit_id, r.components) for r in split.split_matches(solved).collect()] == [("one", ["l1", "l2", "l3"])]
         assert pairs(split.split_exceptions(solved), "record_id", "reason") == [("two", "several sets of settlements fit: k1+k2 | k3+k4")]
 
@@ -92,10 +92,11 @@ def test_split_consumes_and_caps(spark):
     """Credits of one reference take turns; what one has used the next cannot have. Only the first 25 links are tried."""
     b = credits(spark, ("b", "K", 6200, DAY, "EUR"), ("a", "K", 6200, DAY, "EUR"))
     s = settlements(spark, ("k1", "K_S1", 2100, DAY, "EUR"), ("k2", "K_S2", 4100, DAY, "EUR"), ("k3", "K_S3", 9900, DAY, "EUR"))
-    for solved in (split.solve_linked(b, s), split.solve_full(b, s)):
+    for linked_only in (True, False):
+        solved = split.solve(b, s, staged, linked_only=linked_only)
         assert pairs(split.split_matches(solved)) == [("b", "k1")]
     many = lambda n: settlements(spark, *[(f"k{i:02d}", f"K_S{i}", 10 if i < n else 3100, DAY, "EUR") for i in range(n + 2)])
-    assert [split.solve_linked(b.limit(1), many(n)).first()["n_solutions"] for n in (23, 25)] == [5, 0]
+    assert [split.solve(b.limit(1), many(n), staged, linked_only=True).first()["n_solutions"] for n in (23, 25)] == [5, 0]
 
 
 def test_integrity(spark):
