@@ -1,10 +1,13 @@
 """BPE encoding and decoding: speculate and verify.
 
-A text falls into chunks at white space, a chunk into words at the tokenizer's own pattern. For a word the
+A text falls into words at the tokenizer's own pattern. For a word the
 longest matches from the left are proposed. A row of tokens is what the merges make of its text if and only
 if that holds for each two neighbours, so all distinct neighbours of a batch are tested at once, in arrays:
 the merges of the two tokens are undone from the last one back, and no merge across their border may have
-come earlier. Words with a failing pair go through the merges one by one. Workers keep the ids of chunks.
+come earlier. Words with a failing pair go through the merges one by one. Workers keep the ids of words.
+
+Texts of Latin letters are cut by the pattern itself, other ones first at white space, which no word reaches over;
+chunks with other letters go through the library's own normalizer and pattern.
 
 Serves tokenizers of the ``tokenizers`` library that drop white space, work on bytes and mark word ends;
 others raise ``ValueError``. Special tokens in a text become their ids, as in the library.
@@ -19,7 +22,9 @@ import heapq
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import resident
 
-CACHED_CHUNKS = 400_000  # per worker; later chunks are encoded each time they come
-LONG_CHUNK = 64  # longer chunks are not kept
+CACHED_WORDS = 600_000  # per worker; later words are encoded each time they come
+LONG_WORD = 64  # longer words are not kept
+FEW_LETTERS = 24  # up to here the merges of a word are found by looking at all its pairs
 CHARS_AT_ONCE = 4_000_000
 
 #: The white space of Unicode.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[^{SPACES}]+")
+LATIN = "\u0180"  # first code point beyond; below it letters are composed, their classes settled and their small letters in range
+_BEYOND = re.compile(f"[^\0-{chr(ord(LATIN) - 1)}]")
 _END = "\n"  # stands for the mark of a word's end; no byte is written as a line break
-_FREE = np.iinfo(np.int64).max
+_FREE = int(np.iinfo(np.int64).max)
 
 
 def byte_letters() -> list[str]:
@@ -67,8 +75,12 @@ class SpeculativeBpe:
         self._special = {a["content"]: a["id"] for a in added}
         self._at_special = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) or r"(?!)")
         pattern = splits[0]["pattern"]["Regex"]
-        self._ascii_words = re.compile(pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))
-        self._letters = {b: x for b, x in enumerate(byte_letters()) if b < 128}
+        kind = lambda k: "".join(re.escape(chr(c)) for c in range(ord(LATIN)) if unicodedata.category(chr(c))[0] == k)
+        for old, new in ((r"\p{L}", kind("L")), (r"\p{N}", kind("N")), (r"\s", r"\t-\r \x85\xa0")):
+            pattern = pattern.replace(old, new)
+        self._pattern = re.compile(pattern)
+        self._letters = byte_letters()
+        self._plain = re.compile("[!-~]+")  # bytes that are their own letters
 
         vocab = {self._inner(t): i for t, i in model["vocab"].items()}
         self.tokens = [""] * (1 + max([*vocab.values(), *self._special.values()]))
@@ -79,20 +91,21 @@ class SpeculativeBpe:
         self._base = {t: i for t, i in vocab.items() if len(t.rstrip(_END)) == 1}
         self._size = len(self.tokens)
         self.made, self.left, self.right = (np.full(self._size, -1, np.int64) for _ in range(3))
-        self._merge: dict[int, tuple[int, int]] = {}
+        self._merge: dict[int, int] = {}  # two tokens -> rank of their merge, then what it makes, as one number
         for rank, pair in enumerate(model["merges"]):
             a, b = (self._inner(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             i, j, k = vocab[a], vocab[b], vocab[a + b]
-            self._merge.setdefault(i * self._size + j, (rank, k))
+            self._merge.setdefault(i * self._size + j, rank * self._size + k)
             if self.made[k] < 0 and k not in self._base.values():
                 self.made[k], self.left[k], self.right[k] = rank, i, j
         keys = np.fromiter(self._merge, np.int64, len(self._merge))
         order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], np.fromiter((r for r, _ in self._merge.values()), np.int64, len(keys))[order]
+        self._keys, self._ranks = keys[order], np.fromiter(self._merge.values(), np.int64, len(keys))[order] // self._size
         good = self._sound(set(self._base.values()))
         self._propose = {t: i for t, i in vocab.items() if good[i]}
         self._longest = max(map(len, self._propose))
-        self._chunks: dict[str, np.ndarray] = {}
+        self._named = np.array(self.tokens, object)
+        self._known: dict[str, bytes] = {}
 
     def _inner(self, token: str) -> str:
         return token.removesuffix(self._end) + _END if token.endswith(self._end) else token
@@ -139,12 +152,21 @@ class SpeculativeBpe:
 
     # ------------------------------------------------------------ words
 
-    def _words(self, text: str) -> list[str]:
-        """The words of text without special tokens, each byte as its letter, the end marked."""
-        if text.isascii():
-            found = self._ascii_words.findall(text.lower())
-            return [(w if w.isprintable() else w.translate(self._letters)) + _END for w in found]
-        return [w + _END for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))]
+    def _spelled(self, word: str) -> str:
+        """Each byte as its letter, the end marked."""
+        return (word if self._plain.fullmatch(word) else "".join(map(self._letters.__getitem__, word.encode()))) + _END
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if not _BEYOND.search(text):
+            return self._pattern.findall(text.lower())
+        out, library = [], self._library
+        for chunk in _CHUNK.findall(text):
+            if not _BEYOND.search(chunk):
+                out += self._pattern.findall(chunk.lower())
+            else:  # words come spelled, and are told apart by the mark of their end
+                out += [w + _END for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
+        return out
 
     def proposed(self, word: str) -> list[int]:
         """The longest matches from the left; the last letter and the mark of the end stay together."""
@@ -164,18 +186,33 @@ class SpeculativeBpe:
     def merged(self, word: str) -> list[int]:
         """All merges in order of rank, then from the left."""
         ids = [self._base[x] for x in (*word[:-2], word[-2:])]
+        if len(ids) > FEW_LETTERS:
+            return self._merged_long(ids)
+        size, get = self._size, self._merge.get
+        found = [get(a * size + b, _FREE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) < _FREE:
+            at, made = found.index(best), best % size
+            ids[at : at + 2] = [made]
+            del found[at]
+            if at:
+                found[at - 1] = get(ids[at - 1] * size + made, _FREE)
+            if at < len(found):
+                found[at] = get(made * size + ids[at + 1], _FREE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
         before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
         heap = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (m := self._merge.get(ids[i] * self._size + ids[after[i]])):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]], m[1]))
+            if i >= 0 and after[i] >= 0 and (m := self._merge.get(ids[i] * self._size + ids[after[i]])) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[after[i]]))
 
         for i in range(len(ids)):
             offer(i)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
+            m, i, a, b = heapq.heappop(heap)
+            made, j = m % self._size, after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
             ids[i], ids[j], after[i] = made, -1, after[j]
@@ -185,54 +222,68 @@ class SpeculativeBpe:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def encoded_words(self, words: list[str]) -> list[list[int]]:
-        """Proposals, one test of all their distinct neighbours, merges for the words that fail."""
-        out = [self.proposed(w) for w in words]
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((x for ids in out for x in ids), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(out)), sizes)
+    def encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of spelled words: proposals, one test of all their distinct neighbours, merges for the words that fail."""
+        proposals = list(map(self.proposed, words))
+        sizes = np.fromiter(map(len, proposals), np.int64, len(words))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
         at = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[at] * self._size + flat[at + 1], return_inverse=True)
         bad = ~self.compatible(pairs // self._size, pairs % self._size)
+        raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         for k in np.unique(owner[at[bad[back]]]).tolist():
-            out[k] = self.merged(words[k])
+            out[k] = np.asarray(self.merged(words[k]), "<i4").tobytes()
         return out
 
     # ------------------------------------------------------------ texts
 
-    def _learn(self, new: list[str]) -> None:
-        parts: list[list[str | int]] = []
-        for chunk in new:
-            if self._at_special.search(chunk):
-                row, at = [], 0
-                for m in self._at_special.finditer(chunk):
-                    row += [*self._words(chunk[at : m.start()]), self._special[m.group()]]
-                    at = m.end()
-                parts.append([*row, *self._words(chunk[at:])])
-            else:
-                parts.append(self._words(chunk))
-        words = list({w for row in parts for w in row if isinstance(w, str)})
-        known = dict(zip(words, self.encoded_words(words), strict=True))
-        for chunk, row in zip(new, parts, strict=True):
-            self._chunks[chunk] = np.asarray([i for w in row for i in (known[w] if isinstance(w, str) else (w,))], "<i4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut, get, new = [_CHUNK.findall(t) for t in texts], self._chunks.get, set()
-        for chunks in cut:
-            new.update(c for c in set(chunks) if c not in self._chunks)
-        if new:
-            self._learn(list(new))
-        out = [b"".join(map(get, chunks)) for chunks in cut]
-        full = len(self._chunks) > CACHED_CHUNKS
-        for c in new:
-            if full or len(c) > LONG_CHUNK:
-                del self._chunks[c]
+        get, out, open_, new = self._known.get, [], [], set()
+        for k, text in enumerate(texts):
+            if self._at_special.search(text):
+                words, at = [], 0
+                for m in self._at_special.finditer(text):
+                    words += [*self._cut(text[at : m.start()]), self._special[m.group()]]
+                    at = m.end()
+                words += self._cut(text[at:])
+            else:
+                words = self._cut(text)
+            ids = list(map(get, words))
+            if None in ids:
+                missing = [i for i, x in enumerate(ids) if x is None]
+                open_.append((k, words, ids, missing))
+                new.update(map(words.__getitem__, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if open_:
+            learned = {w: np.asarray([w], "<i4").tobytes() for w in new if isinstance(w, int)}
+            plain = [w for w in new if w not in learned]
+            learned.update(zip(plain, self.encoded_words([w if w.endswith(_END) else self._spelled(w) for w in plain]), strict=True))
+            for k, words, ids, missing in open_:
+                for i in missing:
+                    ids[i] = learned[words[i]]
+                out[k] = b"".join(ids)
+            if len(self._known) < CACHED_WORDS:
+                self._known.update((w, x) for w, x in learned.items() if isinstance(w, int) or len(w) <= LONG_WORD)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library without a decoder: the tokens joined by one space; unknown ids are left out."""
-        return " ".join(t for t in map(self.tokens.__getitem__, (i for i in ids if 0 <= i < self._size)) if t)
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """As the library without a decoder: the tokens joined by one space; unknown ids are left out.
+
+        ids: those of all rows, one after another; sizes: how many are of each row.
+        """
+        owner = None
+        if len(ids) and (ids.min() < 0 or ids.max() >= self._size or "" in self.tokens):
+            known = (ids >= 0) & (ids < self._size)
+            known[known] = self._named[ids[known]] != ""
+            owner = np.repeat(np.arange(len(sizes)), sizes)[known]
+            ids, sizes = ids[known], np.bincount(owner, minlength=len(sizes))
+        names, ends = self._named[ids].tolist(), np.cumsum(sizes).tolist()
+        return [" ".join(names[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _model(path: str) -> SpeculativeBpe:
@@ -275,8 +326,8 @@ def decoded(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
             lists = batch.column(at)
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in _slices(lengths * 4):
-                part = lists.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array([bpe.decode(x or []) for x in part.to_pylist()], pa.string())], names=[*batch.schema.names, "decoded"])
+                ids = lists.slice(a, b - a).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(bpe.decode(ids, lengths[a:b]), pa.string())], names=[*batch.schema.names, "decoded"])
 
     at = rows.columns.index(ids_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -46,7 +46,7 @@ def test_every_token_that_is_proposed_is_what_its_text_merges_to(model):
     assert len(inner) > 40_000
     for t in random.Random(1).sample(inner, 4000):
         if t.endswith("\n"):
-            assert model.merged(t) == [model._propose[t]]
+            assert model.merged(t) == model._merged_long([model._base[x] for x in (*t[:-2], t[-2:])]) == [model._propose[t]]
 
 
 def test_random_words_equal_the_library(model):
@@ -58,14 +58,25 @@ def test_random_words_equal_the_library(model):
         for text, ids in zip(texts, model.encode(texts), strict=True):
             want = library.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(ids, "<i4").tolist() == want, text
-            assert model.decode(want) == library.decode(want, skip_special_tokens=False)
+            assert model.decode(np.array(want, np.int64), np.array([len(want)])) == [library.decode(want, skip_special_tokens=False)]
+
+
+def test_all_letters_up_to_the_last_latin_one(model):
+    library = Tokenizer.from_file(WORD)
+    texts = [f"a{chr(c)}b1 x{chr(c)} {chr(c)}" for c in range(0x180)] + [f"İ{chr(c)}" for c in (*range(0x180, 0x260), *range(0x2FF, 0x370))]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(text[1]))
+
+
+def test_unknown_ids_are_left_out(model):
+    assert model.decode(np.array([-1, 1, 10**6, 2]), np.array([2, 0, 2])) == [model.tokens[1], "", model.tokens[2]]
 
 
 def test_only_words_that_fail_are_merged(model, monkeypatch):
     words = ["hello\n", "unbelievably\n", "zxqvj\n", "thethethe\n"]
     want, seen = [model.merged(w) for w in words], []
     monkeypatch.setattr(model, "merged", lambda w, f=model.merged: (seen.append(w), f(w))[1])
-    assert model.encoded_words(words) == want
+    assert [np.frombuffer(x, "<i4").tolist() for x in model.encoded_words(words)] == want
     assert set(seen) == {w for w, x in zip(words, want, strict=True) if model.proposed(w) != x}
     assert all(model.compatible(np.array(x[:-1]), np.array(x[1:])).all() for x in want)
 
