@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ReconConfig
 from ..functions import columns as C
+from . import graph
 
 Stage = Callable[[DataFrame, str], DataFrame]
 KEY = ["utr", "amount", "currency", "day"]
@@ -32,13 +34,12 @@ def without_settlements(settlements: DataFrame, used: DataFrame) -> DataFrame:
     return settlements.join(used.select("settlement_id"), "settlement_id", "left_anti")
 
 
-def fuzzy_candidates(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
-    """Scored pairs with enough similarity and score.
+SIDES = ["currency", "bucket", "place"]
+HOT = 1024  # settlements of a bucket from which on references are indexed
 
-    The range condition on day and amount becomes an equi-join on buckets: a settlement lies in one
-    bucket, a credit looks into its own and the neighbouring ones, so no pair is met twice and none
-    is lost. AQE splits hot buckets.
-    """
+
+def _sides(credits: DataFrame, settlements: DataFrame, config: ReconConfig) -> tuple[DataFrame, DataFrame]:
+    """Both sides under their buckets: a settlement lies in one, a credit looks into its own and the neighbouring ones."""
     width = config.date_window_days + 1
     left = credits.select(
         "bank_credit_id", F.col("utr").alias("b_utr"), F.col("amount").alias("b_amount"), "credited_at", "currency", F.col("seq").alias("b_seq"),
@@ -48,10 +49,80 @@ def fuzzy_candidates(credits: DataFrame, settlements: DataFrame, config: ReconCo
         "settlement_id", F.col("utr").alias("s_utr"), "net", "settled_at", "currency", F.col("seq").alias("s_seq"),
         F.floor(C.amount_place(F.col("net"), config)).cast("long").alias("place"), C.date_bucket(F.col("settled_at"), width).alias("bucket"),
     )
+    return left, right
+
+
+def similar_references(left: DataFrame, right: DataFrame, keys: list[str], config: ReconConfig = DEFAULT) -> DataFrame:
+    """(*keys, x, y): of the references x and y (columns of left and right) under the same keys, a superset of the similar pairs.
+
+    An inverted index instead of all pairs. Similarity bounds the edit distance of a pair by d, a share of the
+    longer length m; so lengths differ by d at most, and a letter pair (two neighbouring letters) that no edit touches
+    stands in both, moved by d places at most. An edit touches two neighbouring letter pairs; of the d edits of the shorter
+    reference as many as its length lacks only insert, and touch one. Each reference is listed, for every m
+    it can be part of, under its rarest letter pairs until these edits cannot touch all of them. Both sides choose in
+    the same order, so the rarest one that two similar references share is in both lists. References that have too few
+    letter pairs for some m meet all others of fitting length there.
+    """
+    allowed = lambda m: F.floor(m * (1 - config.least_reference_similarity) + 1e-9).cast("int")
+    one = lambda df, name: df.where(F.col(name).isNotNull()).select(*keys, F.col(name).alias("text")).distinct().withColumn("size", F.length("text"))
+    sides = one(left, "x"), one(right, "y")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), lambda i: F.struct(F.substring("text", i, F.lit(2)).alias("gram"), i.alias("at")))
+    grams = F.when(F.col("size") >= 2, grams).otherwise(F.array().cast("array<struct<gram: string, at: int>>"))
+    everything = sides[0].unionByName(sides[1])
+    # of the 36 x 36 letter pairs of normal references, how often each occurs: one row for every task
+    often = everything.select(F.explode(grams).alias("p")).groupBy("p.gram").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("often"))
+    often = F.broadcast(often.withColumn("every", F.lit(1)))
+    lengths = everything.select(F.col("size").alias("m")).distinct()
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        most = F.floor(F.col("size") / config.least_reference_similarity + 1e-9).cast("int")
+        each = df.withColumn("m", F.explode(F.sequence("size", F.greatest("size", most)))).withColumn("d", allowed(F.col("m"))).withColumn("lack", F.col("m") - F.col("size"))
+        each = each.where("lack <= d").join(lengths, "m", "left_semi").withColumn("every", F.lit(1)).join(often, "every")
+        each = each.withColumn("rare", F.array_sort(F.transform(grams, lambda p: F.struct(F.col("often")[p["gram"]].alias("n"), p["gram"].alias("gram"), p["at"].alias("at")))))
+        # among the first k letter pairs, how many times two neighbours can be touched together
+        start = F.struct(F.lit(0).alias("pairs"), F.lit(-1).alias("last"))
+        step = lambda s, at: F.when(at == s["last"] + 1, F.struct((s["pairs"] + 1).alias("pairs"), F.lit(-1).alias("last"))).otherwise(F.struct(s["pairs"].alias("pairs"), at.alias("last")))
+        together = lambda k: F.aggregate(F.array_sort(F.slice(F.col("rare.at"), 1, k)), start, step, lambda s: s["pairs"])
+        counts = F.when(F.size("rare") > F.col("d"), F.sequence(F.col("d") + 1, F.size("rare"))).otherwise(F.array().cast("array<int>"))
+        enough = F.get(F.filter(counts, lambda k: k > F.col("d") + F.least(together(k), F.col("d") - F.col("lack"))), 0)
+        entries = F.when(enough.isNotNull(), F.transform(F.slice("rare", 1, enough), lambda p: F.struct(p["gram"].alias("gram"), p["at"].alias("at"))))
+        return each.select(*keys, "m", "d", F.col("text").alias(name), F.col("size").alias(f"{name}_size"), entries.alias("entries"))
+
+    x, y = listed(sides[0], "x"), listed(sides[1], "y").drop("d")
+    fits = (F.greatest("x_size", "y_size") == F.col("m")) & (F.abs(F.col("x_size") - F.col("y_size")) <= F.col("d"))
+    few = x.where("entries is null").select(*keys, "m").union(y.where("entries is null").select(*keys, "m")).distinct()
+    open_ = lambda df: df.join(few, [*keys, "m"], "left_semi").drop("entries")
+    under = lambda df, at: df.withColumn("e", F.explode("entries")).select("*", F.col("e.gram").alias("gram"), F.col("e.at").alias(at)).drop("e", "entries")
+    met = open_(x).join(open_(y), [*keys, "m"]).where(fits)
+    shared = under(x, "x_at").join(under(y, "y_at"), [*keys, "m", "gram"]).where(fits & (F.abs(F.col("x_at") - F.col("y_at")) <= F.col("d")))
+    return met.select(*keys, "x", "y").union(shared.select(*keys, "x", "y")).distinct()
+
+
+def fuzzy_candidates(credits: DataFrame, settlements: DataFrame, config: ReconConfig = DEFAULT, stage: Stage | None = None) -> DataFrame:
+    """Scored pairs with enough similarity and score.
+
+    The range condition on day and amount becomes an equi-join on buckets, so no pair is met twice and none is
+    lost. In the buckets of a popular price and day, which hold more than ``HOT`` settlements, pairs come from an index of
+    their references (:func:`similar_references`); distances are measured only for those.
+
+    stage: writes the short table of such buckets once; without it, it is computed where it is needed.
+    """
+    left, right = _sides(credits, settlements, config)
+    hot = right.groupBy(*SIDES).agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n")
+    if stage is not None:
+        hot = stage(hot, "hot")
     near = (F.abs(F.datediff("credited_at", "settled_at")) <= config.date_window_days) & (F.abs(F.col("b_amount") - F.col("net")) < C.amount_tolerance(F.col("b_amount"), config))
+    if stage is not None and hot.isEmpty():
+        met = left.join(right, SIDES)
+    else:
+        met = left.join(hot, SIDES, "left_anti").join(right, SIDES)
+        x = left.join(hot, SIDES, "left_semi").withColumn("x", C.normalised_reference(F.col("b_utr")))
+        y = right.join(hot, SIDES, "left_semi").withColumn("y", C.normalised_reference(F.col("s_utr")))
+        pairs = similar_references(x, y, SIDES, config)
+        met = met.unionByName(pairs.join(x, [*SIDES, "x"]).join(y, [*SIDES, "y"]).drop("x", "y"))
     similarity = C.reference_similarity(F.col("b_utr"), F.col("s_utr"))
     scored = (
-        left.join(right, ["currency", "bucket", "place"]).where(near).withColumn("similarity", similarity).where(F.col("similarity") >= config.least_reference_similarity)
+        met.where(near).withColumn("similarity", similarity).where(F.col("similarity") >= config.least_reference_similarity)
         .withColumn("score", C.pair_score(F.col("b_amount"), F.col("net"), F.col("credited_at"), F.col("settled_at"), F.col("similarity"), config))
         .where(F.col("score") >= min(config.ambiguous_low, config.fuzzy_accept))
     )
@@ -73,24 +144,57 @@ def currency_pairs(credits: DataFrame, settlements: DataFrame) -> tuple[DataFram
     return left.join(other(right), key).where(differs).select("bank_credit_id", "currency", "seq"), right.join(other(left), key).where(differs).select("settlement_id", "currency", "seq")
 
 
+ROUNDS = 4  # of mutual best, before what is left is finished by components
+
+
 def assigned(pairs: DataFrame, stage: Stage) -> DataFrame:
     """One-to-one by falling score, ties by credit and then settlement order.
 
     Rounds of mutual best: pairs that rank first for both of their ends are kept, whatever touches
-    them goes. This gives the same pairs as one pass over all of them in order of score.
+    them goes. This gives the same pairs as one pass over all of them in order of score. Chains of falling scores would
+    take a round a link; after ``ROUNDS`` what is left is cut into components, which do not touch each other, and each is
+    finished by one pass in order. The number of jobs is bounded whatever the scores.
     """
     order = [F.desc("score"), "b_seq", "s_seq"]
     left, kept = stage(pairs, "edges"), None
-    while not left.isEmpty():
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
         ranked = left.withColumn("rb", F.row_number().over(Window.partitionBy("bank_credit_id").orderBy(*order))).withColumn(
             "rs", F.row_number().over(Window.partitionBy("settlement_id").orderBy(*order))
         )
         won = stage(ranked.where("rb = 1 and rs = 1").drop("rb", "rs"), "won")
         kept = won if kept is None else kept.unionByName(won)
         left = stage(without_settlements(without_credits(left, won), won), "edges")
+    else:
+        if not left.isEmpty():
+            kept = kept.unionByName(stage(_by_components(left, stage), "won"))
     return left if kept is None else kept
 
 
+def _by_components(edges: DataFrame, stage: Stage) -> DataFrame:
+    """The greedy pass in each component; a task streams sorted edges and holds only the ids used in the component at hand."""
+    bank, settlement = F.concat(F.lit("b"), "bank_credit_id"), F.concat(F.lit("s"), "settlement_id")
+    found = graph.components(edges.select(bank.alias("a"), settlement.alias("b")), stage)
+    whole = edges.withColumn("node", bank).join(found, "node").drop("node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, set()
+        for pdf in batches:
+            keep = []
+            for c, b, s in zip(pdf["component"], pdf["bank_credit_id"], pdf["settlement_id"], strict=True):
+                if c != now:
+                    now, used = c, set()
+                free = ("b", b) not in used and ("s", s) not in used
+                if free:
+                    used |= {("b", b), ("s", s)}
+                keep.append(free)
+            yield pdf.loc[keep].drop(columns="component")
+
+    sorted_ = whole.repartition("component").sortWithinPartitions("component", F.desc("score"), "b_seq", "s_seq")
+    return sorted_.mapInPandas(run, edges.schema)
+
+
 def usable_bands(pairs: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
     """Drops pairs between the ambiguous band and acceptance; they claim nothing."""
     return pairs.where((F.col("score") >= config.fuzzy_accept) | F.col("score").between(config.ambiguous_low, config.ambiguous_high) & (F.col("score") < config.ambiguous_high))

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LEVELS, MATCHED_BY
+from ..sources.tables import with_seq
+
 
 def exceptions_view(exceptions: DataFrame, wanted: str | None = None, sort_by: str = "type") -> DataFrame:
-    """Exceptions of one type or source (null: all), with their place in the chosen order."""
+    """Exceptions of one type or source (null: all), with their place, from 1, in the chosen order: by type or source, then as they were found."""
     rows = exceptions if wanted is None else exceptions.where((F.col("exception_type") == wanted) | (F.col("source") == wanted))
     order = F.col("source") if sort_by == "source" else F.coalesce("exception_type", F.lit(""))
-    return rows.select("record_id", "source", "exception_type", "reason", order.alias("sort_key"), "precedence", "seq")
+    rows = rows.select("record_id", "source", "exception_type", "reason", order.alias("sort_key"), "precedence", "seq")
+    return with_seq(rows, "sort_key", "precedence", "seq", "source", "record_id", name="place", first=1)
 
 
 def exception_types(exceptions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,7 +62,8 @@ def routed(pairs: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]
 def resolved(pairs: DataFrame, make_resolver: Callable[[], Callable[[dict], str]]) -> DataFrame:
     """(bank_credit_id, settlement_id, reply, error) from a user's resolver; one resolver per partition.
 
-    A pair whose call raises carries the error text instead of a reply.
+    A pair whose call raises carries the error text instead of a reply. Every evaluation asks again; see
+    :func:`asked` for resolvers whose calls cost something.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,3 +78,50 @@ def resolved(pairs: DataFrame, make_resolver: Callable[[], Callable[[dict], str]
             yield pd.DataFrame(out, columns=["bank_credit_id", "settlement_id", "reply", "error"])
 
     return pairs.mapInPandas(run, "bank_credit_id string, settlement_id string, reply string, error string")
+
+
+LEDGER = "digest string, reply string, error string, run string"
+
+
+def digested(pairs: DataFrame) -> DataFrame:
+    """The pairs with the digest of what is asked about them: all columns but the input positions, by name."""
+    asked = sorted(c for c in pairs.columns if c not in ("b_seq", "s_seq"))
+    return pairs.withColumn("digest", F.sha2(F.to_json(F.struct(*asked), {"ignoreNullFields": "false"}), 256))
+
+
+def asked(
+    pairs: DataFrame, make_resolver: Callable[[], Callable[[dict], str]], ledger: str, run: str, wave: int = 10_000, at_once: int = 8
+) -> DataFrame:
+    """(bank_credit_id, settlement_id, reply, error), each question asked once whatever fails in between.
+
+    Answers go to a ledger, a Parquet folder keyed by the digest of the question. What it holds already is never asked
+    again, by this run, a repeated one or another; calls that failed are asked again by runs of another name. Questions go out in
+    waves, each committed as a whole, so a lost task or a stopped run repeats its wave at most, and resolvers
+    find the digest in the pair, to recognise a question they have answered. Each task holds ``at_once`` calls open.
+    """
+    spark = pairs.sparkSession
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resolve = make_resolver()
+
+        def one(pair: dict) -> tuple:
+            try:
+                return pair["digest"], resolve(pair), None, run
+            except Exception as e:  # the resolver is the user's code and may raise anything
+                return pair["digest"], None, str(e), run
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(list(pool.map(one, pdf.to_dict("records"))), columns=["digest", "reply", "error", "run"])
+
+    questions = digested(pairs)
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # there from the start
+    while True:
+        known = spark.read.schema(LEDGER).parquet(ledger).where((F.col("reply").isNotNull()) | (F.col("run") == run))
+        todo = questions.join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"]).limit(wave)
+        if todo.isEmpty():
+            break
+        todo.repartition(spark.sparkContext.defaultParallelism).mapInPandas(ask, LEDGER).write.mode("append").parquet(ledger)
+    known = spark.read.schema(LEDGER).parquet(ledger).where((F.col("reply").isNotNull()) | (F.col("run") == run))
+    answer = known.groupBy("digest").agg(F.max("reply").alias("reply"), F.max("error").alias("error"))
+    return questions.join(answer, "digest").select("bank_credit_id", "settlement_id", "reply", F.when(F.col("reply").isNull(), F.col("error")).alias("error"))

@@ -150,6 +150,27 @@ def read_json_settlements(c: Case) -> DataFrame:
     return tables.read_json(c.spark, path, "settlements", "settlement_id")
 
 
+@query("SELECT settlement_id, payment_id, gross, fee, tax, net, settled_at, utr, currency FROM settlements")
+def read_json_array(c: Case) -> DataFrame:
+    """Written as JSON array files and read back in byte ranges."""
+    path = new_path(c.spark, "array")
+    tables.write_array(c.work.settlements(), path, "settlements")
+    return tables.read_json(c.spark, f"{path}/part-*", "settlements").drop("seq")
+
+
+@query("""SELECT count(*) FILTER (WHERE k % 7 > 1) AS n_rows, count(*) FILTER (WHERE k % 7 <= 1) AS n_rejects FROM b""")
+def read_json_rejects(c: Case) -> DataFrame:
+    """Credits of which some are broken off or no numbers: rows and rejects together are all records."""
+    path, k = new_path(c.spark, "array"), F.col("k")
+    amount = F.when(k % 7 == 1, F.lit('"many"')).otherwise(F.col("net").cast("string"))
+    text = F.concat(F.lit('{"id": "bank_'), k.cast("string"), F.lit('", "utr": "a } \\" { b", "creditedAmount": '), amount, F.lit(', "currency": "INR"}, '))
+    broken = F.concat(F.lit('{"id": ['), k.cast("string"), F.lit(", }, "))
+    c.work.base().select(F.when(k % 7 == 0, broken).otherwise(text)).write.text(path)
+    rows, rejects = tables.read_json_checked(c.spark, f"{path}/part-*", "bank_credits")
+    one = lambda df, good: df.select(F.lit(good).alias("good"))
+    return one(rows, True).union(one(rejects, False)).agg(F.count_if("good").alias("n_rows"), F.count_if(~F.col("good")).alias("n_rejects"))
+
+
 @query("SELECT record_id, source, decision, corrected_match_id, score, true AS stamped FROM log")
 def corrections_append(c: Case) -> DataFrame:
     """Accepts, then rejects appended to a log; a missing first log falls back to it."""
@@ -420,7 +441,7 @@ def _cautious() -> Callable[[dict], str]:
 @query("""SELECT bank_credit_id, settlement_id, CASE WHEN NOT starts_with(reasoning, 'amount off') THEN '{"verdict": "match", "reasoning": "same amount"}'
     WHEN score >= 0.7::DOUBLE THEN '{"verdict": "unsure"}' END AS reply, CASE WHEN starts_with(reasoning, 'amount off') AND score < 0.7::DOUBLE THEN 'amounts differ' END AS error FROM amb""")
 def resolve_verdicts(c: Case) -> DataFrame:
-    return staged(verdicts.resolved(c.plain.ambiguous, _cautious), "replies")  # each pair is asked once
+    return verdicts.asked(c.plain.ambiguous, _cautious, new_path(c.spark, "ledger"), "query")
 
 
 @query(f"SELECT {EXC} FROM nollmx")
@@ -549,11 +570,19 @@ def baseline_gate(c: Case) -> DataFrame:
 # ---------------------------------------------------------------- report
 
 
-@query("""SELECT record_id, source, exception_type, reason, coalesce(exception_type, '') AS sort_key, precedence, seq FROM exc_0 WHERE exception_type = 'batched_payout' OR source = 'batched_payout'""")
+_VIEW = """SELECT record_id, source, exception_type, reason, {0} AS sort_key, precedence, seq, row_number() OVER (ORDER BY {0}, precedence, seq, source, record_id) AS place FROM exc_0 WHERE {1}"""
+
+
+@query(_VIEW.format("coalesce(exception_type, '')", "exception_type = 'batched_payout' OR source = 'batched_payout'"))
 def exceptions_view(c: Case) -> DataFrame:
     return report.exceptions_view(c.plain.exceptions, "batched_payout")
 
 
+@query(_VIEW.format("source", "true"))
+def exceptions_by_source(c: Case) -> DataFrame:
+    return report.exceptions_view(c.plain.exceptions, sort_by="source")
+
+
 @query("SELECT DISTINCT coalesce(exception_type, source) AS kind FROM exc_0")
 def exception_types(c: Case) -> DataFrame:
     return report.exception_types(c.plain.exceptions)

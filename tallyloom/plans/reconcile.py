@@ -49,7 +49,7 @@ class Reconciliation:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return matching.fuzzy_candidates(*self.after_exact, self.config)
+        return matching.fuzzy_candidates(*self.after_exact, self.config, staged)
 
     @cached_property
     def assigned(self) -> DataFrame:
@@ -94,7 +94,7 @@ class Reconciliation:
         if replies is None:
             said = self.ambiguous.where("false").select("bank_credit_id", "settlement_id", *[F.lit(None).cast("string").alias(c) for c in ("verdict", "reasoning", "error")])
         else:
-            said = verdicts.parsed(replies)
+            said = staged(verdicts.parsed(replies), "verdicts")  # read by both routes; parsed in them it would outgrow generated code
         return verdicts.routed(self.ambiguous, said)
 
     @cached_property

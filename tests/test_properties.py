@@ -50,6 +50,69 @@ def test_blocking_loses_nothing(spark):
     assert matching.fuzzy_candidates(b, s).count() == want > 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def references(rng, n, letters, least, most):
+    """References of many lengths and their neighbours: letters changed, dropped, inserted, cut off."""
+    base = ["UTR" + "".join(rng.choice(letters) for _ in range(rng.randrange(least, most))) for _ in range(n // 2)] + ["", "A", "AB", "ABC", "ABCD"]
+    out = list(base)
+    while len(out) < n:
+        x = list(rng.choice(base))
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randrange(2)] = rng.choice([[], [rng.choice(letters)]])
+        out.append("".join(x)[: rng.choice([99, 10, 8])])
+    return out
+
+
+@pytest.mark.parametrize("letters, least, most", [("01", 0, 9), ("0123456789ABCDEF", 3, 16), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 9, 22)])
+def test_indexed_references_lose_no_similar_pair(spark, letters, least, most):
+    rng = random.Random(7)
+    x, y = references(rng, 150, letters, least, most), references(rng, 150, letters, least, most)
+    y += [w[:-1] + "0" for w in x[:60]] + x[60:90]
+    side = lambda rows, name: spark.createDataFrame([(i % 2, w) for i, w in enumerate(rows)] + [(0, None)], f"k int, {name} string")
+    met = {tuple(r) for r in matching.similar_references(side(x, "x"), side(y, "y"), ["k"]).collect()}
+    every = {(k, a, b) for k in (0, 1) for a in x[k::2] for b in y[k::2]}
+    want = {(k, a, b) for k, a, b in every if a == b or a and b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.65}
+    assert want <= met <= every and len(want) > 60
+
+
+def test_popular_price_and_day_measures_few_pairs(spark, monkeypatch):
+    """Everything in one bucket: the same candidates, from a small part of the pairs."""
+    rng = random.Random(8)
+    letters, n = "0123456789ABCDEFGHJKLMNPQRSTUVWXYZ", 300
+    refs = ["UTR" + "".join(rng.choice(letters) for _ in range(15)) for _ in range(n)]
+    spoil = lambda w: w[:9] + "Z" + w[10:15] + rng.choice(["", w[15:]])
+    b = credits(spark, *[(f"B{i}", w, 9_900, DAY, "INR") for i, w in enumerate(refs)])
+    s = settlements(spark, *[(f"S{i}", spoil(w), 9_900 + i % 3, DAY + timedelta(i % 2), "INR") for i, w in enumerate(refs)])
+    want = pairs(matching.fuzzy_candidates(b, s, stage=staged))
+    monkeypatch.setattr(matching, "HOT", 10)
+    assert pairs(matching.fuzzy_candidates(b, s, stage=staged)) == pairs(matching.fuzzy_candidates(b, s)) == want and len(want) >= n
+    named = lambda df, name: df.select(F.col("utr").alias(name), F.lit(1).alias("k"))
+    assert matching.similar_references(named(b, "x"), named(s, "y"), ["k"]).count() < 0.2 * n * n
+
+
+def test_chain_of_falling_scores_takes_a_bounded_number_of_tables(spark):
+    """A path whose scores fall from one end: mutual best alone would take a round for every second link."""
+    n, made = 2_000, []
+    rows = [(f"B{i:05d}", f"S{j:05d}", 1.0 - (2 * i + (j > i)) * 1e-6, i, j) for i in range(n) for j in (i, i + 1)]
+    df = spark.createDataFrame(rows, "bank_credit_id string, settlement_id string, score double, b_seq long, s_seq long")
+
+    def stage(frame, name):
+        made.append(name)
+        return staged(frame, name)
+
+    assert pairs(matching.assigned(df, stage)) == [(f"B{i:05d}", f"S{i:05d}") for i in range(n)]
+    assert len(made) < 60
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_subsets_are_the_recursion(seed):
     rng = random.Random(seed)
