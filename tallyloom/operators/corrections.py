@@ -32,13 +32,18 @@ def rejected(corrections: DataFrame) -> DataFrame:
     return corrections.where("decision = 'reject'").select("source", "record_id", "seq")
 
 
-def pools_after(credits: DataFrame, settlements: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What corrections leave: neither matched by hand nor rejected."""
+def removed(corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of the credits and of the settlements that are matched by hand or rejected."""
     human, gone = human_matches(corrections), rejected(corrections)
     parts = human.select(F.explode(F.coalesce("components", F.array("settlement_id"))).alias("settlement_id"))
     of = lambda source, name: gone.where(F.col("source") == source).select(F.col("record_id").alias(name))
-    bank = credits.join(human.select("bank_credit_id").union(of("bank", "bank_credit_id")), "bank_credit_id", "left_anti")
-    return bank, settlements.join(parts.union(of("settlement", "settlement_id")), "settlement_id", "left_anti")
+    return human.select("bank_credit_id").union(of("bank", "bank_credit_id")).distinct(), parts.union(of("settlement", "settlement_id")).distinct()
+
+
+def pools_after(credits: DataFrame, settlements: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What corrections leave: neither matched by hand nor rejected."""
+    bank, settlement = removed(corrections)
+    return credits.join(bank, "bank_credit_id", "left_anti"), settlements.join(settlement, "settlement_id", "left_anti")
 
 
 def reject_exceptions(corrections: DataFrame) -> DataFrame:
@@ -64,8 +69,10 @@ def counterparts(exceptions: DataFrame) -> DataFrame:
     rows = exceptions.where("source in ('bank', 'settlement')").select("record_id", "source", "reason", "seq", F.regexp_replace("record_id", r"\D", "").alias("digits"))
     other = F.when(F.col("source") == "bank", "settlement").otherwise("bank")
     least = lambda keys, name: rows.groupBy("reason", *keys, "source").agg(F.min(F.struct("seq", "record_id"))["record_id"].alias(name)).withColumn("source", other)
+    # reasons of one side alone, which may be as many as rows, have no counterpart
+    shared = rows.groupBy("reason").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b").select("reason")
     return (
-        rows.join(least(["digits"], "equal"), ["reason", "digits", "source"], "left").join(least([], "first"), ["reason", "source"], "left")
+        rows.join(least(["digits"], "equal"), ["reason", "digits", "source"], "left").join(least([], "first").join(shared, "reason", "left_semi"), ["reason", "source"], "left")
         .select("record_id", "source", F.coalesce("equal", "first").alias("counterpart_id"), "seq")
     )
 

@@ -154,9 +154,11 @@ def assigned(pairs: DataFrame, stage: Stage) -> DataFrame:
     them goes. This gives the same pairs as one pass over all of them in order of score. Chains of falling scores would
     take a round a link; after ``ROUNDS`` what is left is cut into components, which do not touch each other, and each is
     finished by one pass in order. The number of jobs is bounded whatever the scores.
+
+    pairs: a table that is cheap to read again; stage writes what each round leaves.
     """
     order = [F.desc("score"), "b_seq", "s_seq"]
-    left, kept = stage(pairs, "edges"), None
+    left, kept = pairs, None
     for _ in range(ROUNDS):
         if left.isEmpty():
             break

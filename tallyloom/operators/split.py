@@ -154,9 +154,6 @@ def pools(pairs: DataFrame, config: ReconConfig = DEFAULT) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("bank_credit_id").orderBy("s_seq"))).where(F.col("place") <= config.split_pool)
 
 
-_RESULT = "bank_credit_id string, b_seq long, amount long, n_solutions int, components array<string>, listed string, consumed boolean"
-
-
 def _lists(settlements: DataFrame, centres: DataFrame, key: list[str], config: ReconConfig) -> tuple[DataFrame, DataFrame]:
     """(cuts, lists): for each key and day of a credit, what its pool is drawn from, whatever its turn.
 
@@ -238,37 +235,58 @@ def _searched(pools: DataFrame, config: ReconConfig) -> DataFrame:
     return pools.repartition(parts).mapInPandas(search, schema)
 
 
-def solve(credits: DataFrame, settlements: DataFrame, stage: Stage, config: ReconConfig = DEFAULT, linked_only: bool = False) -> DataFrame:
+def taken_by(solved: DataFrame) -> DataFrame:
+    """(settlement_id, taken_at): the turn of the first credit that takes a settlement."""
+    return solved.where("consumed").select(F.explode("components").alias("settlement_id"), "b_seq").groupBy("settlement_id").agg(F.min("b_seq").alias("taken_at"))
+
+
+def solve(
+    credits: DataFrame, settlements: DataFrame, stage: Stage, config: ReconConfig = DEFAULT, linked_only: bool = False,
+    before: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Subset search of all credits, taking turns.
 
     linked_only: only settlements that carry a credit's reference are tried; else any settlement of the window.
-    Columns: bank_credit_id, b_seq, amount, n_solutions (up to the number listed), components of the first, listed,
-    consumed. Rows: credits with two candidates at their turn.
+    before: (an earlier result, credits that came or went since, settlements that did); only what these change is searched again.
+    Columns: bank_credit_id, b_seq, amount, settlement_ids and nets (the pool at the credit's turn; empty without two
+    candidates), n_solutions (up to the number listed), components of the first, listed, consumed.
     """
-    solved = stage(_searched(candidate_pools(credits, settlements, None, config, linked_only).where("size(nets) > 0"), config), "solved")
-    taken, width = None, config.split_window_days
-    where = settlements.select("settlement_id", "currency", "settled_at")
+    width, spot = config.split_window_days, ["currency", "settled_at"]
+    where = settlements.select("settlement_id", *spot)
+    if before is None:
+        solved, taken = stage(_searched(candidate_pools(credits, settlements, None, config, linked_only).where("size(nets) > 0"), config), "solved"), None
+        moved = came = None
+    else:
+        old, came, moved = before
+        taken = taken_by(old)
+        solved = old.join(came.select("bank_credit_id"), "bank_credit_id", "left_anti")
+        where = where.unionByName(moved.select("settlement_id", *spot)).distinct()
+        came = credits.join(came.select("bank_credit_id"), "bank_credit_id", "left_semi")
     while True:
-        now = stage(solved.where("consumed").select(F.explode("components").alias("settlement_id"), "b_seq").groupBy("settlement_id").agg(F.min("b_seq").alias("taken_at")), "taken")
+        now = stage(taken_by(solved), "taken")
         if taken is None:
             changed = now.withColumnRenamed("taken_at", "least")
         else:
             both = now.join(taken.withColumnRenamed("taken_at", "before"), "settlement_id", "full").where(~F.col("taken_at").eqNullSafe(F.col("before")))
             changed = both.select("settlement_id", F.least("taken_at", "before").alias("least"))
+        if moved is not None:
+            changed = changed.unionByName(moved.select("settlement_id", F.lit(-(1 << 62)).alias("least")))
         taken = now
         # the days around a changed settlement; credits with earlier turns see no change
-        spots = changed.join(where, "settlement_id").groupBy("currency", "settled_at").agg(F.min("least").alias("least"))
+        spots = changed.join(where, "settlement_id").groupBy(*spot).agg(F.min("least").alias("least"))
         days = F.explode(F.sequence(F.date_sub("settled_at", width), F.date_add("settled_at", width))).alias("credited_at")
         spots = spots.select("currency", days, "least").groupBy("currency", "credited_at").agg(F.min("least").alias("least"))
-        seen = credits.join(spots, ["currency", "credited_at"]).where("seq > least").drop("least")
+        seen = credits.join(spots, ["currency", "credited_at"]).where("seq > least").select(credits.columns)
+        if came is not None:
+            seen = seen.unionByName(came).dropDuplicates(["bank_credit_id"])
+        came = moved = None
         old = solved.select("bank_credit_id", F.col("settlement_ids").alias("old"))
         pools = candidate_pools(seen, settlements, taken, config, linked_only).join(old, "bank_credit_id", "left")
         other = pools.where("settlement_ids <> coalesce(old, cast(array() as array<string>))").drop("old")
         stale = stage(_searched(other, config), "stale")
         if stale.isEmpty():
-            break
+            return solved
         solved = stage(solved.join(stale, "bank_credit_id", "left_anti").unionByName(stale), "solved")
-    return solved.where("size(nets) > 0").select(*[x.split(" ")[0] for x in _RESULT.split(", ")])
 
 
 def split_matches(solved: DataFrame) -> DataFrame:

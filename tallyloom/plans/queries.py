@@ -15,6 +15,7 @@ from ..sources import tables
 from . import sql
 from .cluster import new_path, staged
 from .reconcile import Reconciliation
+from .rerun import Rerun
 from .workload import Workload, degrade_reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,12 @@ class Case:
         run.replies = self.work.replies(run.ambiguous)
         return run
 
+    @cached_property
+    def corrected(self) -> Rerun:
+        run = Rerun(self.plain, self.work.corrections())
+        run.replies = self.work.replies(run.ambiguous)
+        return run
+
     @cached_property
     def spoiled(self) -> DataFrame:
         """Payments with some missing, and some amounts and currencies changed."""
@@ -374,7 +381,7 @@ def split_pool(c: Case) -> DataFrame:
 
 @query("SELECT bank_credit_id, n_solutions, array_to_string(components, '+') AS components, listed FROM solved")
 def subset_sums(c: Case) -> DataFrame:
-    return c.plain.solved.select("bank_credit_id", "n_solutions", F.array_join("components", "+").alias("components"), "listed")
+    return c.plain.solved.where("size(nets) > 0").select("bank_credit_id", "n_solutions", F.array_join("components", "+").alias("components"), "listed")
 
 
 @query(f"SELECT {MATCH} FROM split")
@@ -400,7 +407,7 @@ def split_remaining_settlements(c: Case) -> DataFrame:
 @query(f"SELECT bank_credit_id, b_seq, amount, n_solutions, array_to_string(components, '+') AS components, listed FROM turn_{sql.TURNS}")
 def split_general(c: Case) -> DataFrame:
     """Batched payouts from any settlement of the window, credits taking turns."""
-    return c.general.solved.select("bank_credit_id", "b_seq", "amount", "n_solutions", F.array_join("components", "+").alias("components"), "listed")
+    return c.general.solved.where("size(nets) > 0").select("bank_credit_id", "b_seq", "amount", "n_solutions", F.array_join("components", "+").alias("components"), "listed")
 
 
 # ---------------------------------------------------------------- verdicts
@@ -498,6 +505,17 @@ def reconcile_exceptions(c: Case) -> DataFrame:
     return c.complete.exceptions
 
 
+@query(f"SELECT {MATCH} FROM matches_a")
+def rerun_matches(c: Case) -> DataFrame:
+    """The run with corrections, from the tables of the run without them."""
+    return _flat(c.corrected.matches)
+
+
+@query(f"SELECT {EXC} FROM exc_a")
+def rerun_exceptions(c: Case) -> DataFrame:
+    return c.corrected.exceptions
+
+
 # ---------------------------------------------------------------- scoring
 
 

@@ -51,9 +51,13 @@ class Reconciliation:
     def candidates(self) -> DataFrame:
         return matching.fuzzy_candidates(*self.after_exact, self.config, staged)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return staged(matching.usable_bands(self.candidates, self.config), "edges")
+
     @cached_property
     def assigned(self) -> DataFrame:
-        return matching.assigned(matching.usable_bands(self.candidates, self.config), staged)
+        return matching.assigned(self.edges, staged)
 
     @cached_property
     def fuzzy(self) -> DataFrame:
@@ -88,6 +92,10 @@ class Reconciliation:
         bank, settlement = self.after_fuzzy
         return matching.without_credits(bank, self.split), matching.without_settlements(settlement, split.part_ids(self.split))
 
+    @cached_property
+    def left(self) -> DataFrame:
+        return staged(consolidate.leftover_banks(self.after_split[0], self.settlements), "left")
+
     @cached_property
     def verdicts(self) -> tuple[DataFrame, DataFrame]:
         replies = self.replies
@@ -104,10 +112,8 @@ class Reconciliation:
 
     @cached_property
     def exceptions(self) -> DataFrame:
-        bank, settlement = self.after_split
         rejects = [] if self.log is None else [corrections.reject_exceptions(self.log)]
-        left = consolidate.leftover_banks(bank, self.settlements)
         found = consolidate.all_exceptions(
-            [self.flagged, self.other_currency, split.split_exceptions(self.solved), self.verdicts[1], left, consolidate.leftover_settlements(settlement), *rejects], self.matches
+            [self.flagged, self.other_currency, split.split_exceptions(self.solved), self.verdicts[1], self.left, consolidate.leftover_settlements(self.after_split[1]), *rejects], self.matches
         )
         return staged(consolidate.swept(staged(found, "exceptions"), self.matches, self.credits, self.settlements), "swept")

@@ -30,7 +30,7 @@ def in_turn(bank, have, linked_only):
 
 
 def rows_of(solved):
-    return {(r.bank_credit_id, r.n_solutions, tuple(r.components) if r.components else None, r.listed) for r in solved.collect()}
+    return {(r.bank_credit_id, r.n_solutions, tuple(r.components) if r.components else None, r.listed) for r in solved.where("size(nets) > 0").collect()}
 
 
 def popular(rng, n, days):
