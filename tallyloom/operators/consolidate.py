@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MATCHED_BY, ReconConfig
 from ..functions import columns as C
+from .matching import own
 from .split import part_ids
 
 LEFT_BANK, LEFT_SETTLEMENT = 5, 6
@@ -31,28 +32,31 @@ def leftover_banks(credits: DataFrame, settlements: DataFrame, config: ReconConf
 
     Existence only: settlements are reduced to one row per bucket, day and amount before the joins.
     """
-    keys = settlements.select(F.explode(C.link_keys(F.col("utr"))).alias("utr")).distinct()
-    linked = credits.select("bank_credit_id", "utr").join(keys, "utr", "left_semi").select("bank_credit_id", F.lit(True).alias("linked"))
+    more = own(credits, settlements)
+    keys = settlements.select(*more, F.explode(C.link_keys(F.col("utr"))).alias("utr")).distinct()
+    linked = credits.select(*more, "bank_credit_id", "utr").join(keys, [*more, "utr"], "left_semi").select("bank_credit_id", F.lit(True).alias("linked"))
     width = config.date_window_days + 1
     right = settlements.select(
-        "currency", "settled_at", "net", C.date_bucket(F.col("settled_at"), width).alias("bucket"), F.floor(C.amount_place(F.col("net"), config)).cast("long").alias("place")
+        *more, "currency", "settled_at", "net", C.date_bucket(F.col("settled_at"), width).alias("bucket"), F.floor(C.amount_place(F.col("net"), config)).cast("long").alias("place")
     ).distinct()
-    left = credits.select("bank_credit_id", "currency", "credited_at", "amount", F.explode(C.places_around(F.col("amount"), config)).alias("place"), C.date_bucket(F.col("credited_at"), width).alias("bucket"))
+    left = credits.select(*more, "bank_credit_id", "currency", "credited_at", "amount", F.explode(C.places_around(F.col("amount"), config)).alias("place"), C.date_bucket(F.col("credited_at"), width).alias("bucket"))
     left = left.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).alias("l")
     near = (
         (F.col("l.currency") == F.col("r.currency")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.place") == F.col("r.place"))
         & (F.abs(F.datediff("credited_at", "settled_at")) <= config.date_window_days) & (F.abs(F.col("amount") - F.col("net")) <= C.amount_tolerance(F.col("amount"), config))
     )
+    for c in more:
+        near = near & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     plausible = left.join(right.alias("r"), near, "left_semi").select("bank_credit_id").distinct().withColumn("plausible", F.lit(True))
     both = credits.join(linked, "bank_credit_id", "left").join(plausible, "bank_credit_id", "left")
     kind = F.when(F.col("linked"), "batched_payout").when(F.col("plausible"), "unclaimed_bank_credit").otherwise("unresolvable_noise")
-    reason = F.when(F.col("linked"), "linked settlements do not make up the credit").when(F.col("plausible"), "credit present, settlement missing").otherwise("nothing near this credit")
+    reason = F.when(F.col("linked"), "linked settlements do not make up the credit").when(F.col("plausible"), "no settlement is left for this credit").otherwise("nothing near this credit")
     return both.select(F.col("bank_credit_id").alias("record_id"), F.lit("bank").alias("source"), reason.alias("reason"), kind.alias("exception_type"), F.lit(LEFT_BANK).alias("precedence"), "seq")
 
 
 def leftover_settlements(settlements: DataFrame) -> DataFrame:
     return settlements.select(
-        F.col("settlement_id").alias("record_id"), F.lit("settlement").alias("source"), F.lit("settlement present, bank credit missing").alias("reason"),
+        F.col("settlement_id").alias("record_id"), F.lit("settlement").alias("source"), F.lit("no credit came for this settlement").alias("reason"),
         F.lit("settlement_pending_bank").alias("exception_type"), F.lit(LEFT_SETTLEMENT).alias("precedence"), "seq",
     )
 

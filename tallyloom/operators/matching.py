@@ -16,12 +16,18 @@ Stage = Callable[[DataFrame, str], DataFrame]
 KEY = ["utr", "amount", "currency", "day"]
 
 
+def own(*tables: DataFrame) -> list[str]:
+    """``batch``, if the records carry it: then records of different batches never meet."""
+    return ["batch"] if all("batch" in t.columns for t in tables) else []
+
+
 def exact_matches(credits: DataFrame, settlements: DataFrame) -> DataFrame:
     """Equal reference, amount, currency and day; the n-th credit of a key takes its n-th settlement."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq"))
-    left = credits.select("bank_credit_id", "utr", "amount", "currency", F.col("credited_at").alias("day"), "seq").withColumn("rn", rank).drop("seq")
-    right = settlements.select("settlement_id", "utr", F.col("net").alias("amount"), "currency", F.col("settled_at").alias("day"), "seq").withColumn("rn", rank).drop("seq")
-    return left.join(right, [*KEY, "rn"]).select(
+    key = [*KEY, *own(credits, settlements)]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
+    left = credits.select(*key[4:], "bank_credit_id", "utr", "amount", "currency", F.col("credited_at").alias("day"), "seq").withColumn("rn", rank).drop("seq")
+    right = settlements.select(*key[4:], "settlement_id", "utr", F.col("net").alias("amount"), "currency", F.col("settled_at").alias("day"), "seq").withColumn("rn", rank).drop("seq")
+    return left.join(right, [*key, "rn"]).select(
         "bank_credit_id", "settlement_id", F.lit(None).cast("array<string>").alias("components"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("matched_by"), F.lit(None).cast("string").alias("reasoning")
     )
 
@@ -40,13 +46,13 @@ HOT = 1024  # settlements of a bucket from which on references are indexed
 
 def _sides(credits: DataFrame, settlements: DataFrame, config: ReconConfig) -> tuple[DataFrame, DataFrame]:
     """Both sides under their buckets: a settlement lies in one, a credit looks into its own and the neighbouring ones."""
-    width = config.date_window_days + 1
+    width, more = config.date_window_days + 1, own(credits, settlements)
     left = credits.select(
-        "bank_credit_id", F.col("utr").alias("b_utr"), F.col("amount").alias("b_amount"), "credited_at", "currency", F.col("seq").alias("b_seq"),
+        *more, "bank_credit_id", F.col("utr").alias("b_utr"), F.col("amount").alias("b_amount"), "credited_at", "currency", F.col("seq").alias("b_seq"),
         F.explode(C.places_around(F.col("amount"), config)).alias("place"), C.date_bucket(F.col("credited_at"), width).alias("bucket"),
     ).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     right = settlements.select(
-        "settlement_id", F.col("utr").alias("s_utr"), "net", "settled_at", "currency", F.col("seq").alias("s_seq"),
+        *more, "settlement_id", F.col("utr").alias("s_utr"), "net", "settled_at", "currency", F.col("seq").alias("s_seq"),
         F.floor(C.amount_place(F.col("net"), config)).cast("long").alias("place"), C.date_bucket(F.col("settled_at"), width).alias("bucket"),
     )
     return left, right
@@ -108,18 +114,19 @@ def fuzzy_candidates(credits: DataFrame, settlements: DataFrame, config: ReconCo
     stage: writes the short table of such buckets once; without it, it is computed where it is needed.
     """
     left, right = _sides(credits, settlements, config)
-    hot = right.groupBy(*SIDES).agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n")
+    sides = [*SIDES, *own(left)]
+    hot = right.groupBy(*sides).agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n")
     if stage is not None:
         hot = stage(hot, "hot")
     near = (F.abs(F.datediff("credited_at", "settled_at")) <= config.date_window_days) & (F.abs(F.col("b_amount") - F.col("net")) < C.amount_tolerance(F.col("b_amount"), config))
     if stage is not None and hot.isEmpty():
-        met = left.join(right, SIDES)
+        met = left.join(right, sides)
     else:
-        met = left.join(hot, SIDES, "left_anti").join(right, SIDES)
-        x = left.join(hot, SIDES, "left_semi").withColumn("x", C.normalised_reference(F.col("b_utr")))
-        y = right.join(hot, SIDES, "left_semi").withColumn("y", C.normalised_reference(F.col("s_utr")))
-        pairs = similar_references(x, y, SIDES, config)
-        met = met.unionByName(pairs.join(x, [*SIDES, "x"]).join(y, [*SIDES, "y"]).drop("x", "y"))
+        met = left.join(hot, sides, "left_anti").join(right, sides)
+        x = left.join(hot, sides, "left_semi").withColumn("x", C.normalised_reference(F.col("b_utr")))
+        y = right.join(hot, sides, "left_semi").withColumn("y", C.normalised_reference(F.col("s_utr")))
+        pairs = similar_references(x, y, sides, config)
+        met = met.unionByName(pairs.join(x, [*sides, "x"]).join(y, [*sides, "y"]).drop("x", "y"))
     similarity = C.reference_similarity(F.col("b_utr"), F.col("s_utr"))
     scored = (
         met.where(near).withColumn("similarity", similarity).where(F.col("similarity") >= config.least_reference_similarity)
@@ -136,9 +143,9 @@ def currency_pairs(credits: DataFrame, settlements: DataFrame) -> tuple[DataFram
     Each side is held against the other's set of currencies per key, so shared placeholder references
     do not multiply.
     """
-    key = ["utr", "amount", "day"]
-    left = credits.select("bank_credit_id", "utr", "amount", F.col("credited_at").alias("day"), "currency", "seq")
-    right = settlements.select("settlement_id", "utr", F.col("net").alias("amount"), F.col("settled_at").alias("day"), "currency", "seq")
+    key = [*own(credits, settlements), "utr", "amount", "day"]
+    left = credits.select(*key[:-3], "bank_credit_id", "utr", "amount", F.col("credited_at").alias("day"), "currency", "seq")
+    right = settlements.select(*key[:-3], "settlement_id", "utr", F.col("net").alias("amount"), F.col("settled_at").alias("day"), "currency", "seq")
     other = lambda df: df.groupBy(*key).agg(F.collect_set("currency").alias("seen"))
     differs = F.exists("seen", lambda c: c != F.col("currency"))
     return left.join(other(right), key).where(differs).select("bank_credit_id", "currency", "seq"), right.join(other(left), key).where(differs).select("settlement_id", "currency", "seq")

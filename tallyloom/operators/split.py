@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ReconConfig
 from ..functions import columns as C
+from .matching import own
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -202,13 +203,14 @@ def candidate_pools(credits: DataFrame, settlements: DataFrame, taken: DataFrame
     taken: (settlement_id, taken_at), or nothing taken. Settlements that carry the credit's reference come before all
     others if there are two.
     """
-    bank = credits.select("bank_credit_id", "utr", "amount", "credited_at", "currency", F.col("seq").alias("b_seq"))
+    more = own(credits, settlements)
+    bank = credits.select(*more, "bank_credit_id", "utr", "amount", "credited_at", "currency", F.col("seq").alias("b_seq"))
     have = settlements.withColumn("taken_at", F.lit(None).cast("long")) if taken is None else settlements.join(taken, "settlement_id", "left")
-    have = have.select("settlement_id", "net", "settled_at", "currency", "utr", F.col("seq").alias("s_seq"), "taken_at")
+    have = have.select(*more, "settlement_id", "net", "settled_at", "currency", "utr", F.col("seq").alias("s_seq"), "taken_at")
     by_link = have.withColumn("utr", F.explode(F.array_distinct(C.link_keys(F.col("utr")))))
-    found = bank.join(_pools(bank, by_link, ["currency", "utr"], config).where("size(have) >= 2"), "bank_credit_id", "left")
+    found = bank.join(_pools(bank, by_link, [*more, "currency", "utr"], config).where("size(have) >= 2"), "bank_credit_id", "left")
     if not linked_only:
-        others = _pools(bank, have.drop("utr"), ["currency"], config).where("size(have) >= 2").withColumnRenamed("have", "any")
+        others = _pools(bank, have.drop("utr"), [*more, "currency"], config).where("size(have) >= 2").withColumnRenamed("have", "any")
         found = found.join(others, "bank_credit_id", "left").withColumn("have", F.coalesce("have", "any"))
     empty = lambda name, kind: F.coalesce(F.col(f"have.{name}"), F.array().cast(f"array<{kind}>"))
     return found.select("bank_credit_id", "b_seq", "amount", empty("settlement_id", "string").alias("settlement_ids"), empty("net", "bigint").alias("nets"))
@@ -251,7 +253,8 @@ def solve(
     Columns: bank_credit_id, b_seq, amount, settlement_ids and nets (the pool at the credit's turn; empty without two
     candidates), n_solutions (up to the number listed), components of the first, listed, consumed.
     """
-    width, spot = config.split_window_days, ["currency", "settled_at"]
+    width, more = config.split_window_days, own(credits, settlements)
+    spot = [*more, "currency", "settled_at"]
     where = settlements.select("settlement_id", *spot)
     if before is None:
         solved, taken = stage(_searched(candidate_pools(credits, settlements, None, config, linked_only).where("size(nets) > 0"), config), "solved"), None
@@ -275,8 +278,8 @@ def solve(
         # the days around a changed settlement; credits with earlier turns see no change
         spots = changed.join(where, "settlement_id").groupBy(*spot).agg(F.min("least").alias("least"))
         days = F.explode(F.sequence(F.date_sub("settled_at", width), F.date_add("settled_at", width))).alias("credited_at")
-        spots = spots.select("currency", days, "least").groupBy("currency", "credited_at").agg(F.min("least").alias("least"))
-        seen = credits.join(spots, ["currency", "credited_at"]).where("seq > least").select(credits.columns)
+        spots = spots.select(*more, "currency", days, "least").groupBy(*more, "currency", "credited_at").agg(F.min("least").alias("least"))
+        seen = credits.join(spots, [*more, "currency", "credited_at"]).where("seq > least").select(credits.columns)
         if came is not None:
             seen = seen.unionByName(came).dropDuplicates(["bank_credit_id"])
         came = moved = None

@@ -13,10 +13,11 @@ from ..functions import columns as C
 from ..operators import consolidate, corrections, integrity, matching, report, scoring, split, verdicts
 from ..sources import tables
 from . import sql
-from .cluster import new_path, staged
+from .batches import Batches
+from .cluster import metered, new_path, staged
 from .reconcile import Reconciliation
 from .rerun import Rerun
-from .workload import Workload, degrade_reference
+from .workload import Workload, check_size, degrade_reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,6 +50,11 @@ class Case:
         run.replies = self.work.replies(run.ambiguous)
         return run
 
+    @cached_property
+    def batched(self) -> Batches:
+        of = lambda df: df.withColumn("batch", F.floor(F.col("seq") / 10_000) % sql.BATCHES)
+        return Batches(of(self.work.payments()), of(self.work.settlements()), of(self.work.credits()))
+
     @cached_property
     def corrected(self) -> Rerun:
         run = Rerun(self.plain, self.work.corrections())
@@ -557,16 +563,41 @@ def deferral_by_level(c: Case) -> DataFrame:
 
 
 def _batch(name: str) -> F.Column:
-    return (F.floor(F.regexp_extract(name, r"_(\d+)", 1).cast("long") / 100) % 5).alias("batch_id")
+    return (F.floor(F.regexp_extract(name, r"_(\d+)", 1).cast("long") / 100) % sql.BATCHES).alias("batch_id")
+
+
+@query(f"SELECT batch_id, {MATCH} FROM matches_q")
+def reconcile_batches(c: Case) -> DataFrame:
+    """Separate batches in one run; none meets another."""
+    return c.batched.matches.select(F.col("batch").cast("long").alias("batch_id"), *_flat(c.batched.matches).columns[:2], F.array_join("components", "+").alias("components"), "confidence", "matched_by", "reasoning")
 
 
 @query("""SELECT metric, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM (UNPIVOT batch_head ON precision, recall, match_rate, fp_rate INTO NAME metric VALUE value) GROUP BY metric""")
 def robustness(c: Case) -> DataFrame:
-    matches = c.plain.matches.withColumn("batch_id", _batch("bank_credit_id"))
+    matches = c.batched.matches.withColumn("batch_id", F.col("batch").cast("long"))
     labels = c.labels.where("label = 'match'").withColumn("batch_id", _batch("bank_credit_id"))
     return scoring.robustness(scoring.headline(scoring.counts(matches, labels, ("batch_id",)), ("batch_id",)))
 
 
+@query("""SELECT 'integrity' AS pass, count(*) AS n_rows FROM flagged UNION ALL SELECT 'clean', count(*) FROM clean UNION ALL SELECT 'exact', count(*) FROM exact UNION ALL SELECT 'edges', count(*) FROM e0
+  UNION ALL SELECT 'currency', count(*) FROM cur UNION ALL SELECT 'matches', count(*) FROM matches_0 UNION ALL SELECT 'swept', count(*) FROM exc_0""")
+def pass_rows(c: Case) -> DataFrame:
+    """Rows that each pass of a run writes, counted while they are written."""
+    run = Reconciliation(c.work.payments(), c.work.settlements(), c.work.credits())
+    with metered() as seen:
+        run.exceptions  # noqa: B018  runs all passes
+    names = {"integrity", "clean", "exact", "edges", "currency", "matches", "swept"}
+    return c.spark.createDataFrame([(name, n) for name, n, _ in seen if name in names], "pass string, n_rows long")
+
+
+@query("SELECT name, least(n, 50) AS n, n >= 50 AS enough FROM (SELECT 'settlements' AS name, count(*) AS n FROM settlements UNION ALL SELECT 'credits', count(*) FROM credits)")
+def workload_size(c: Case) -> DataFrame:
+    """The guard against batches too small to score: counting stops at its bound."""
+    one = lambda name, df: df.limit(50).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    check_size(c.work.settlements(), c.work.credits())
+    return one("settlements", c.work.settlements()).union(one("credits", c.work.credits())).withColumn("enough", F.col("n") >= 50)
+
+
 @query("""SELECT a.precision AS precision_without, b.precision AS precision_with, a.recall AS recall_without, b.recall AS recall_with, a.fp_rate AS fp_rate_without, b.fp_rate AS fp_rate_with
   FROM head_0 a, head_v b""")
 def ablation(c: Case) -> DataFrame:

@@ -200,12 +200,12 @@ _turns(TURNS)
 
 def _left(n: str, bank: str, settlement: str) -> None:
     CTE[f"leftb{n}"] = f"""SELECT bank_credit_id AS record_id, 'bank' AS source,
-        CASE WHEN linked THEN 'linked settlements do not make up the credit' WHEN plausible THEN 'credit present, settlement missing' ELSE 'nothing near this credit' END AS reason,
+        CASE WHEN linked THEN 'linked settlements do not make up the credit' WHEN plausible THEN 'no settlement is left for this credit' ELSE 'nothing near this credit' END AS reason,
         CASE WHEN linked THEN 'batched_payout' WHEN plausible THEN 'unclaimed_bank_credit' ELSE 'unresolvable_noise' END AS exception_type, 5 AS precedence, seq
       FROM (SELECT c.*, c.utr IN (SELECT split_part(utr, '_S', 1) FROM settlements WHERE contains(utr, '_S')) AS linked,
         bank_credit_id IN (SELECT bank_credit_id FROM {bank} x JOIN settlements s ON x.currency = s.currency AND s.settled_at BETWEEN x.credited_at - 3 AND x.credited_at + 3
           AND abs(x.amount - s.net) <= {_TOL.format('x.amount')}) AS plausible FROM {bank} c)"""
-    CTE[f"lefts{n}"] = f"""SELECT settlement_id AS record_id, 'settlement' AS source, 'settlement present, bank credit missing' AS reason, 'settlement_pending_bank' AS exception_type, 6 AS precedence, seq FROM {settlement}"""
+    CTE[f"lefts{n}"] = f"""SELECT settlement_id AS record_id, 'settlement' AS source, 'no credit came for this settlement' AS reason, 'settlement_pending_bank' AS exception_type, 6 AS precedence, seq FROM {settlement}"""
 
 
 _COLS = "record_id, source, reason, exception_type, precedence, seq"
@@ -266,11 +266,17 @@ CTE["cp"] = "SELECT record_id, source, reason, seq, regexp_replace(record_id, '[
 CTE["counterpart"] = """SELECT a.record_id, a.source, a.seq, coalesce(
     (SELECT arg_min(record_id, (seq, record_id)) FROM cp b WHERE b.reason = a.reason AND b.digits = a.digits AND b.source <> a.source), f.first) AS counterpart_id
   FROM cp a LEFT JOIN (SELECT reason, source, arg_min(record_id, (seq, record_id)) AS first FROM cp GROUP BY 1, 2) f ON f.reason = a.reason AND f.source <> a.source"""
-CTE["batch_of"] = """SELECT bank_credit_id, settlement_id, matched_by, substr(bank_credit_id, 6, 9)::BIGINT // 100 % 5 AS batch_id FROM matches_0"""
-CTE["per_batch"] = """SELECT v.batch_id, coalesce(tp, 0) AS tp, coalesce(p, 0) AS p, coalesce(t, 0) AS t FROM (SELECT DISTINCT batch_id FROM batch_of) v
-  LEFT JOIN (SELECT substr(bank_credit_id, 6, 9)::BIGINT // 100 % 5 AS batch_id, count(*) AS tp FROM tp_0 GROUP BY 1) USING (batch_id)
-  LEFT JOIN (SELECT batch_id, count(*) AS p FROM batch_of GROUP BY 1) USING (batch_id)
-  LEFT JOIN (SELECT substr(bank_credit_id, 6, 9)::BIGINT // 100 % 5 AS batch_id, count(*) AS t FROM want_0 GROUP BY 1) USING (batch_id)"""
+BATCHES = 5
+for _i in range(BATCHES):
+    CTE[f"bankq_{_i}"] = f"SELECT * FROM credits WHERE substr(bank_credit_id, 6, 9)::BIGINT // 100 % {BATCHES} = {_i}"
+    CTE[f"setlq_{_i}"] = f"SELECT * FROM clean WHERE substr(settlement_id, 6, 9)::BIGINT // 100 % {BATCHES} = {_i}"
+    _passes(f"_q{_i}", f"bankq_{_i}", f"setlq_{_i}")
+CTE["matches_q"] = " UNION ALL ".join(f"SELECT *, {o} AS pass_order, {i} AS batch_id FROM {name}_q{i}" for i in range(BATCHES) for o, name in ((2, "exact"), (3, "fuzzy"), (4, "split")))
+_scores("_q")
+CTE["per_batch"] = f"""SELECT v.batch_id, coalesce(tp, 0) AS tp, coalesce(p, 0) AS p, coalesce(t, 0) AS t FROM (SELECT DISTINCT batch_id FROM matches_q) v
+  LEFT JOIN (SELECT substr(bank_credit_id, 6, 9)::BIGINT // 100 % {BATCHES} AS batch_id, count(*) AS tp FROM tp_q GROUP BY 1) USING (batch_id)
+  LEFT JOIN (SELECT batch_id, count(*) AS p FROM matches_q GROUP BY 1) USING (batch_id)
+  LEFT JOIN (SELECT substr(bank_credit_id, 6, 9)::BIGINT // 100 % {BATCHES} AS batch_id, count(*) AS t FROM want_q GROUP BY 1) USING (batch_id)"""
 CTE["batch_head"] = """SELECT batch_id, round(tp::DOUBLE / p, 6) AS precision, round(tp::DOUBLE / t, 6) AS recall, round(tp::DOUBLE / t, 6) AS match_rate, round((p - tp)::DOUBLE / p, 6) AS fp_rate FROM per_batch"""
 
 #: tables that later ones read more than once
