@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, nullable, resident, written
+from .common import dropped, mix64, nullable, resident, written
 from .tokens import in_slices
 
 SAMPLE_DOCS = 20_000  # bound on the labelled rows that are used for fitting
@@ -73,23 +73,55 @@ def words(text: str | None) -> list[str]:
     return found
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_index: dict[int, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
+
+
+def _spans(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length up to ``PIECE``: (length, text number, start, 64-bit value) of all spans of the texts, which are not empty."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    start = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, value, rest = np.arange(len(codes)), np.zeros(len(codes), np.uint64), sizes[owner] - start
+    for n in range(1, PIECE + 1):
+        more = rest[at] >= n
+        at, value = at[more], value[more]
+        value = value * _FACTOR + codes[at + n - 1]
+        yield n, owner[at], start[at], mix64(value)
+
+
+def _table(pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' values in order, and their numbers; kept for the vocabulary in use."""
+    if id(pieces) not in _index:
+        names = list(pieces)
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        value = np.zeros(len(names), np.uint64)
+        for n, owner, start, v in _spans(names):
+            whole = (start == 0) & (size[owner] == n)
+            value[owner[whole]] = v[whole]
+        order = np.argsort(value)
+        _index.clear()
+        _index[id(pieces)] = pieces, value[order], np.fromiter(pieces.values(), np.int64, len(names))[order]
+    return _index[id(pieces)][1:]
+
+
 def edges(new: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The piece lattice of words: (word, from, to, piece), ordered by to, then word."""
-    unknown, out = len(pieces), []
-    get = pieces.get
-    for k, w in enumerate(new):
-        s = START + w
-        n = len(s)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - PIECE), j):
-                p = get(s[i:j])
-                if p is not None:
-                    out.append((j, k, i, p))
-                elif j == i + 1:
-                    out.append((j, k, i, unknown))
-    table = np.array(out, dtype=np.int64).reshape(-1, 4)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    return table[:, 1], table[:, 2], table[:, 0], table[:, 3]
+    """The piece lattice of words: (word, from, to, piece), ordered by to, then word.
+
+    All spans of all words are looked up by 64-bit values at once.
+    """
+    values, names = _table(pieces)
+    out = []
+    for n, word, start, v in _spans([START + w for w in new]):
+        at = np.minimum(np.searchsorted(values, v), len(values) - 1)
+        known = values[at] == v if len(values) else np.zeros(len(v), bool)
+        piece = np.where(known, names[at] if len(values) else 0, len(pieces))
+        keep = known if n > 1 else np.ones(len(v), bool)
+        out.append(np.stack((start[keep] + n, word[keep], start[keep], piece[keep])))
+    table = np.concatenate(out, axis=1)
+    table = table[:, np.lexsort((table[1], table[0]))]
+    return table[1], table[2], table[0], table[3]
 
 
 def _sums(lattice: tuple[np.ndarray, ...], n_words: int, prob: np.ndarray, back: bool = False) -> np.ndarray:
