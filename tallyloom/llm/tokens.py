@@ -5,7 +5,8 @@ digits end a word before a comma, full stop, space or line break, and a word nev
 start of a run of white space. So a text can be cut there and encoded part by part, and each worker
 keeps the ids of the parts it has met. Texts where such a cut could part what belongs
 together (two marks or two white spaces in a row: ``LATE_MARK``, ``LONG_SPACE``) are cut at plain single spaces only,
-or encoded in one piece. All ways give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+or encoded in one piece. All ways give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``; texts that hold
+an added token (``<|endoftext|>``) are cut there first, as the library does, and it becomes its own id.
 """
 
 from __future__ import annotations
@@ -38,7 +39,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in what stands around them are not served")
+        self.added = {t.content: np.asarray([i], "<u4").tobytes() for i, t in added.items()}
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.mark, self.mark_id = "", None  # a text between parts that is one id of its own
         for mark in ("\n", " ¶", " § ", " ~ ", " ^ "):
             ids = np.frombuffer(self._ids([mark])[0], "<u4")
@@ -76,6 +81,26 @@ class WordEncoder:
         return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [k for k, t in enumerate(texts) if self.at_added.search(t)]
+        if not cut:
+            return self._encode(texts)
+        plain, row = list(texts), []  # pieces of cut texts come after the texts
+        for k in cut:
+            plain[k], at, ids = "", 0, []
+            for m in self.at_added.finditer(texts[k]):
+                ids += [len(plain), self.added[m.group()]]
+                plain.append(texts[k][at : m.start()])
+                at = m.end()
+            ids.append(len(plain))
+            plain.append(texts[k][at:])
+            row.append(ids)
+        out = self._encode(plain)
+        for k, ids in zip(cut, row, strict=True):
+            out[k] = b"".join(out[x] if isinstance(x, int) else x for x in ids)
+        return out[: len(texts)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Of texts without added tokens."""
         out: list[bytes] = [b""] * len(texts)
         get, whole, open_, new = self.words.get, [], [], set()
         for k, text in enumerate(texts):

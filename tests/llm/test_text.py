@@ -21,7 +21,7 @@ from tallyloom.llm.tokens import WordEncoder
 
 BYTE, WORD, PIECE = path("byte_bpe_50k.json"), path("word_bpe_49k.json"), path("piece_bpe_32k.model")
 ODD = [
-    "", " ", "  a", "a  b", " a", "a ", "a\nb", "a\n", "a.", "a,b", "3.14", "a..b", "a., b", ".a", ", a", "a \n b", "a\n\t\tb", "don't. it's,", "x\x1cy z", "¶ a ¶, b", "tab\t x", "<|endoftext|> q",
+    "", " ", "  a", "a  b", " a", "a ", "a\nb", "a\n", "a.", "a,b", "3.14", "a..b", "a., b", ".a", ", a", "a \n b", "a\n\t\tb", "don't. it's,", "x\x1cy z", "¶ a ¶, b", "tab\t x", "<|endoftext|> q", "end <|endoftext|> start", "a<|endoftext|>b<|startoftext|>", "<|endoftext|><|endoftext|>\n<|endoftext", ". <|endoftext|>.",
     "é́. ́,y", "İ Σ ς", "日本 語。 本.", "🙂 a🙂,", "_a_ _.", "a\0b c", "½, ² ⅷ.", "word " * 3000, "z" * 5000,
 ]
 SCHEMA = "doc_id long, text string, id string, piece string, lang string"
@@ -32,9 +32,7 @@ def frame(spark, texts, langs=None):
 
 
 def reference(file):
-    t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(file)
 
 
 @pytest.mark.parametrize("file", [BYTE, WORD])
