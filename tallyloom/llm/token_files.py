@@ -40,6 +40,8 @@ SEEK_TABLE = 0x184D2A5E
 CHECKSUMS = 0x80
 SEEK_MARK = 0x8F92EAB1
 FRAME_IDS = 1 << 17
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20  # a file that holds so many ids or documents is closed, and the task begins another
+ROWS_AT_ONCE = 20_000
 
 _FRAME = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
 _DOC = np.dtype([("known", "u1"), ("id", "<i8"), ("frame", "<u4"), ("first", "<u4"), ("n", "<u8")])
@@ -59,7 +61,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 class TokenFileWriter:
     def __init__(self, uri: str, width: int = 4, level: int = 3):
         self.files, path = opened(uri)
-        self.path, self.width = path, width
+        self.uri, self.path, self.width = uri, path, width
         self.out = self.files.open_output_stream(path, compression=None)
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames: list[tuple[int, int, int]] = []
@@ -130,25 +132,35 @@ class TokenFileReader:
             yield int(row["id"]) if row["known"] else None, ids[row["first"] : row["first"] + row["n"]]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all documents by id ranges; returns the manifest (path, first_id, n_docs, n_ids)."""
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Write all documents by id ranges; returns the manifest (path, first_id, n_docs, n_ids).
+
+    Files are bounded, however few partitions there are; those of a task are named in order, as first ids may be equal.
+    """
     folder = new_path(docs.sparkSession, "tokens")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri, out, first = f"{folder}/{uuid.uuid4().hex}.ids.zst", None, None
+        name, out, first, n_files = uuid.uuid4().hex, None, None, 0
         tail = np.asarray([end_id], "<u4")
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            return pd.DataFrame([(out.uri, first, len(out.docs), out.n_ids)], columns=["path", "first_id", "n_docs", "n_ids"]).astype({"first_id": "Int64"})
+
         for pdf in batches:
             names = ids_of(pdf["id"])
             for at, texts in in_slices(pdf["text"].tolist()):
-                if out is None:
-                    files, path = opened(folder)
-                    files.create_dir(path, recursive=True)
-                    out, first = TokenFileWriter(uri), names[0]
                 for k, ids in enumerate(encoder(tokenizer).encode(texts), at):
+                    if out is None:
+                        files, path = opened(folder)
+                        files.create_dir(path, recursive=True)
+                        out, first, n_files = TokenFileWriter(f"{folder}/{name}-{n_files:06d}.ids.zst"), names[k], n_files + 1
                     out.add(names[k], np.concatenate((np.frombuffer(ids, "<u4"), tail)))
+                    if out.n_ids >= file_ids or len(out.docs) >= file_docs:
+                        yield closed()
+                        out = None
         if out is not None:
-            out.close()
-            yield pd.DataFrame([(uri, first, len(out.docs), out.n_ids)], columns=["path", "first_id", "n_docs", "n_ids"]).astype({"first_id": "Int64"})
+            yield closed()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     return written(ordered.mapInPandas(write, "path string, first_id long, n_docs long, n_ids long"), "manifest")
@@ -169,6 +181,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for doc, ids in TokenFileReader(uri).read():
                     out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
+                    if len(out) == ROWS_AT_ONCE:
+                        yield pd.DataFrame(out, columns=["id", "start", "n_tokens", "ids_crc32"]).astype({"id": "Int64"})
+                        out = []
                 yield pd.DataFrame(out, columns=["id", "start", "n_tokens", "ids_crc32"]).astype({"id": "Int64"})
 
     return files.repartition(max(1, files.count()), "path").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")

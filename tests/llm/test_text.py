@@ -111,6 +111,8 @@ def test_token_files(spark):
         start += len(ids)
     manifest = write_token_files(frame(spark, texts).repartition(3), WORD)
     assert sorted(map(tuple, read_token_files(manifest).collect())) == want
+    small = write_token_files(frame(spark, texts).repartition(3), WORD, file_docs=2)
+    assert small.count() >= len(texts) // 2 and sorted(map(tuple, read_token_files(small).collect())) == want
     row = manifest.orderBy("first_id").first()
     reader = TokenFileReader(row["path"])
     assert [(d, len(ids)) for d, ids in reader.read([row["first_id"]])] == [(want[0][0], want[0][2])]
@@ -119,7 +121,7 @@ def test_token_files(spark):
 
 def test_token_files_with_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(5, "b"), (None, "zero"), (5, "a"), (2, None)], "doc_id long, text string")
-    manifest = write_token_files(rows, WORD)
+    manifest = write_token_files(rows, WORD, file_docs=1)
     got = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
     t = reference(WORD)
     want = [t.encode(x, add_special_tokens=False).ids + [2] for x in ("zero", "", "a", "b")]
