@@ -34,7 +34,7 @@ from .common import ids as ids_of
 from .common import nullable, resident
 from .tokens import LATE_MARK, LONG_SPACE, in_slices
 
-CACHED_PARTS = 1_200_000  # per worker; later parts are searched each time they come
+CACHED_PARTS = 600_000  # per worker; later parts are searched each time they come; the workers of both steps may come to hold them
 LONG_PART = 64  # longer parts are searched one by one, and not kept
 PARTS_AT_ONCE = 16_384
 SPACE = "▁"
