@@ -29,8 +29,9 @@ count only as parts of exact repeats.
 
 Edge cases: null texts count as empty and stay null; white-space texts have no units; repeats within
 one document alone stay; rows that repeat an id and its text are one document and lose the same
-words; an id that stands for different texts, and a null id, leave their rows as they are; an empty table
-gives an empty result; further columns are kept as they are.
+words; rows with a null id, or an id that stands for different texts, are documents of their own that come after
+all others; an empty table gives an empty result; further columns are kept as they are, but for those called as
+the columns that are added.
 """
 
 from __future__ import annotations
@@ -398,12 +399,35 @@ def near_repeats(docs: DataFrame, banded: DataFrame) -> DataFrame:
     return both.mapInPandas(trimmed, "id long, start int, skip int, words int")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per repeat of an earlier document's words: id, start (bytes), and stop with the words around it there, or (stop -1) skip and words."""
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, row: str) -> tuple[DataFrame, int]:
+    """(the table with a document number, characters in all).
+
+    The number is the id; rows whose id is null or stands for different texts get one from id and text, after all others.
+    """
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     each = written(read.groupBy("id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"), F.sum(F.length("text")).alias("size")), "documents")
     size = each.agg(F.sum("size")).first()[0] or 0
-    read = read.join(written(each.where("lo <> hi").select("id"), "mixed-ids"), "id", "left_anti")
+    own, odd = _fresh(docs, "_id"), _fresh(docs, "_odd")
+    mixed = written(each.where("lo <> hi and id is not null").select(F.col("id").alias(own), F.lit(True).alias(odd)), "mixed-ids")
+    id_ = F.col(id_col).cast("long")
+    late = F.lit(1 << 62) + F.xxhash64(id_, F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
+    number = F.when(id_.isNull() | F.col(odd).isNotNull(), late).otherwise(id_)
+    return docs.join(mixed, id_ == F.col(own), "left").withColumn(row, number).select(*docs.columns, row), size
+
+
+def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
+    """Per repeat of an earlier document's words: id, start (bytes), and stop with the words around it there, or (stop -1) skip and words.
+
+    docs: (id, text), size characters in all.
+    """
+    read = docs.where("text is not null")
     found = written(colliding(units(read, max(1, math.ceil(size / BLOCK_CHARS)))), "units")
     exact = exact_repeats(read, found.where("not banded").select("id", "start", "stop", "f_id", "f_start", "f_stop"))
     near = near_repeats(read, found.where("banded").select("key", "fp", "id", "start", "stop"))
@@ -411,15 +435,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with the text shortened, n_removed (paragraphs that lose words) and the removed byte spans."""
-    marks = written(repeated_spans(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "stop", "left", "right", "skip", "words")).alias("_marks")), "marks")
-    names, kinds = docs.columns, dict(docs.dtypes)
+    """``docs`` with the text shortened, n_removed (paragraphs that lose words) and the removed byte spans.
+
+    Columns of the input that are called n_removed or removed are replaced.
+    """
+    row, id_, marks_ = _fresh(docs, "_row"), _fresh(docs, "_number"), _fresh(docs, "_marks")
+    names = [c for c in docs.columns if c.lower() not in ("n_removed", "removed")]
+    kinds = dict(docs.dtypes)
+    docs, size = numbered(docs.select(*names), id_col, text_col, row)
+    spans = repeated_spans(docs.select(F.col(row).alias("id"), F.col(text_col).alias("text")), size)
+    marks = written(spans.groupBy(F.col("id").alias(id_)).agg(F.collect_list(F.struct("start", "stop", "left", "right", "skip", "words")).alias(marks_)), "marks")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, gone, spans = [], [], []
-            for text, marked in zip(pdf[text_col], pdf["_marks"], strict=True):
-                p = Paragraphs(text) if marked is not None else None
+            for text, marked in zip(pdf[text_col], pdf[marks_], strict=True):
+                p = Paragraphs(text) if marked is not None and text is not None else None
                 runs = repeated_runs(p, marked, run_words) if p else []
                 cut = [(int(p.begin[i]), int(p.end[j])) for i, j in runs]
                 texts.append(shortened(p.data, cut) if cut else text)
@@ -427,9 +458,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 spans.append([{"start": a, "end": b} for a, b in cut])
             yield nullable(pdf[names], kinds).assign(**{text_col: texts}, n_removed=gone, removed=spans)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return (
-        docs.join(marks, F.col(id_col).cast("long") == F.col("_id"), "left").select(*names, "_marks")
+        docs.join(marks, F.col(row) == F.col(id_), "left").select(*names, marks_)
         .mapInPandas(remove, f"{schema}, n_removed int, removed array<struct<start: long, end: long>>")
     )
 

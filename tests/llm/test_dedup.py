@@ -139,6 +139,20 @@ def test_repeated_passages(spark):
     assert [got[i].text for i in (12, 13, 14)] == [None, "", " \n "]
 
 
+def test_passages_in_rows_with_null_and_repeated_ids(spark):
+    """A passage of an ordinary row goes from the others; columns are called as the operator's own."""
+    rng = random.Random(15)
+    passage, own = prose(rng, 120), [prose(rng, 40) for _ in range(6)]
+    schema = "doc_id long, text string, removed string, n_removed int, _id long, _row int, _marks int, id long, stop int, Words string"
+    rows = [(1, f"{own[0]} {passage}"), (7, f"{own[1]} {passage}"), (7, own[2]), (None, f"{own[3]} {passage}"), (None, f"{passage} {own[4]}"), (9, own[5]), (9, own[5]), (None, None)]
+    df = spark.createDataFrame([(i, t, "r", 5, 6, 7, 8, 9, 10, "w") for i, t in rows], schema)
+    found = without_repeats(df)
+    got = sorted(((r.doc_id, r.text and r.text.rstrip()) for r in found.collect()), key=repr)
+    assert got == sorted([rows[0], (7, own[1]), (7, own[2]), (None, own[3]), (None, own[4]), *rows[5:]], key=repr)
+    assert {(r._id, r._row, r._marks, r.id, r.stop, r.Words) for r in found.collect()} == {(6, 7, 8, 9, 10, "w")}
+    assert set(found.columns) == set(df.columns) and found.schema["n_removed"].dataType.simpleString() == "int"
+
+
 def test_near_passages_cluster(spark):
     rng = random.Random(6)
     words = prose(rng, 60).split()
