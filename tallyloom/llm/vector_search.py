@@ -110,6 +110,10 @@ def _scan(rows: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> tuple[np
 def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probed_share: float = PROBED) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``top`` nearest of the other rows found."""
     rows = usable(vectors, id_col, vec_col)
+    # all vectors scaled by one power of two, which rounds nothing, so that squares neither overflow nor vanish
+    largest = rows.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    power = min(max(math.frexp(largest)[1], -1000), 1000)
+    rows = rows.withColumn("x", F.transform("x", lambda v: v * 2.0**-power)).where(F.exists("x", lambda v: v != 0))
     classes = written(_classes(rows, top + 1), "classes")
     asked = rows.where(is_query).dropDuplicates(["id"]).join(classes.select("x", F.col("ids")[0].alias("cls")), "x").select(F.col("id").alias("query_id"), "cls")
     asked = written(asked, "asked")
@@ -208,5 +212,5 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "
     each = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.withColumnRenamed("cls", "asked").join(few, "asked").where("query_id <> vec_id").withColumn("rank", F.row_number().over(each)).where(f"rank <= {top}")
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("score") * 2.0**power * 2.0**power).alias("score"))
     )

@@ -111,6 +111,24 @@ def test_article_in_a_block_with_a_telling_name(spark):
     assert all(r.text.startswith(f"Head {r.page_id}\nlong") and "x" not in r.text for r in extract_pages(docs).collect())
 
 
+def test_words_inside_quoted_values_are_no_attributes():
+    assert text('<body><p title="the hidden gem">One</p><p data-x="a class=ad here">Two</p><p title=\'id="nav"\'>Three</p><p hidden>Four</p><p CLASS = "ad">Five</p><p x=y hidden=until>Six</p></body>') == "One\nTwo\nThree"
+    start = time.time()
+    parsed("<p " + "a='" * 50_000 + ">x")
+    parsed("<p " + 'class="x" ' * 50_000 + ">x")
+    assert time.time() - start < 5
+
+
+@pytest.mark.parametrize("size", [1e160, 1e-170])
+def test_nearest_of_very_long_and_short_vectors(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6)) * size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = spark.createDataFrame([(i, (v / size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = lambda d: [(r.query_id, r["rank"], r.vec_id) for r in nearest(d, F.col("id") % 20 == 0).collect()]
+    assert sorted(found(df)) == sorted(found(plain)) and len(found(df)) == 300
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 8)).astype(np.float32)
