@@ -144,6 +144,7 @@ def test_published_batch(spark):
     read = lambda name, by=None: tables.read_json(spark, f"{at}/{name}.json", name, by)
     run = Reconciliation(read("payments"), read("settlements"), read("bank_credits"), mode="full")
     found = Counter(r.matched_by for r in run.matches.collect())
+    # fixed values: the counts published with the batch
     assert found == {"exact": 22, "fuzzy": 18, "split": 3} and run.ambiguous.count() == 4 and run.exceptions.count() == 32
     labels = read("ground_truth")
     assert tuple(scoring.counts(run.matches, labels).first())[:3] == (42, 1, 4)
