@@ -174,7 +174,7 @@ def assigned(pairs: DataFrame, stage: Stage) -> DataFrame:
         )
         won = stage(ranked.where("rb = 1 and rs = 1").drop("rb", "rs"), "won")
         kept = won if kept is None else kept.unionByName(won)
-        left = stage(without_settlements(without_credits(left, won), won), "edges")
+        left = stage(without_settlements(without_credits(left, won), won), "unassigned")
     else:
         if not left.isEmpty():
             kept = kept.unionByName(stage(_by_components(left, stage), "won"))
