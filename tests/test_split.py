@@ -59,7 +59,7 @@ def test_rounds_equal_turns(spark, monkeypatch, chunk, seed, days, linked_only):
     bank, have = popular(random.Random(seed), 90, days)
     want = in_turn(bank, have, linked_only)
     assert rows_of(split.solve(credits(spark, *bank), settlements(spark, *have), staged, linked_only=linked_only)) == want
-    assert sum(n == 1 for _, n, _, _ in want) > 4
+    assert sum(n == 1 for _, n, _, _ in want) > 2  # some take what others could
 
 
 def test_chain_of_credits_that_take_from_each_other(spark):
