@@ -36,6 +36,7 @@ def _exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     return store.exists(hadoop) and (not folder or store.getFileStatus(hadoop).isDirectory())
 
 
+RUN = 17  # pieces are summed up in runs of 2^RUN, whatever the size of a byte range
 MOST_PIECES = 10_000  # closing braces in one record; what never ends is not gathered
 
 
@@ -44,7 +45,7 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read as pieces that end at a closing brace, which Spark splits like lines. Whether a piece starts inside a string
     depends on all quotes before it, and whether its brace ends an element on all braces before it. Both are
-    running sums: taken inside each byte range, then over the ranges (a row for each), never over the texts in one
+    running sums: taken inside each run of pieces of a byte range, then over the runs (a row for each), never over the texts in one
     place. Elements that fall apart into several pieces, by nested braces or braces in strings, are put together again.
 
     whole is false for what no closing brace ends; there text may be null. place counts elements over all files, by name.
@@ -59,15 +60,16 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", F.col("_metadata.file_size").alias("bytes"),
         ((F.size(split) - 1) % 2).alias("flips"), opened(0).alias("outside"), opened(1).alias("inside"),
     )
-    chunks = staged(chunks, "pieces")
-    key = ["file", "block"]
+    chunks = staged(chunks.withColumn("run", F.shiftright("at", RUN)), "pieces")
+    key = ["file", "block", "run"]
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)
     none = lambda x: F.coalesce(x, F.lit(0))
     ranges = lambda rows, x: rows.groupBy(*key).agg(F.sum(x).alias("n"))
 
     # the last piece of a file ends at a brace only if pieces and braces fill the file
-    last = chunks.groupBy("file").agg(F.max(F.struct("block", "at")).alias("end"), (F.sum(F.octet_length("value") + 1) > F.max("bytes")).alias("cut"))
+    sums = chunks.groupBy(*key).agg(F.max("at").alias("at"), F.sum(F.octet_length("value") + 1).alias("filled"), F.max("bytes").alias("bytes"))  # numbers only, so nothing is sorted for it
+    last = sums.groupBy("file").agg(F.max(F.struct("block", "at")).alias("end"), (F.sum("filled") > F.max("bytes")).alias("cut"))
     chunks = chunks.join(last, "file").withColumn("cut", F.col("cut") & (F.struct("block", "at") == F.col("end"))).drop("end", "bytes")
     quoted = ranges(chunks, "flips").withColumn("quoted", none(F.sum("n").over(earlier))).drop("n")
     chunks = chunks.join(quoted, key).withColumn("quoted", (F.col("quoted") + none(F.sum("flips").over(before))) % 2)
@@ -76,7 +78,7 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
     deep = ranges(chunks, "step").withColumn("deep", none(F.sum("n").over(earlier))).drop("n")
     chunks = chunks.join(deep, key).withColumn("deep", F.col("deep") + none(F.sum("step").over(before)) + F.col("step"))
     chunks = chunks.withColumn("last", ((ends == 1) & (F.col("deep") == 0)).cast("long"))
-    everywhere = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each byte range
+    everywhere = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each run
     done = ranges(chunks, "last").withColumn("done", none(F.sum("n").over(everywhere))).drop("n")
     chunks = chunks.join(done, key).withColumn("place", F.col("done") + none(F.sum("last").over(before)))
     chunks = staged(chunks.select("place", *key, "at", "value", "last"), "pieces")
