@@ -48,3 +48,38 @@ def test_few_pairs_are_judged_whole(spark):
         found = matching.fuzzy_candidates(credits(spark, *rows), settlements(spark, *rows), stage=staged).count()
     met = {name: rows for name, rows, _ in seen}["met"]
     assert n <= found == met < 0.1 * n * n
+
+
+def test_pairs_of_a_popular_day_and_price_are_judged_in_python_only(spark):
+    """No join of Spark meets single pairs: of a product of rows, only the pairs that may score leave the task that judges them."""
+    rng, n = random.Random(7), 200
+    rows = [(str(k), f"UTR{k:07}{rng.randrange(16**6):06X}", 100_000, DAY, "INR") for k in range(n)]
+    plan = matching.fuzzy_candidates(credits(spark, *rows), settlements(spark, *rows))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and not any("levenshtein" in line for line in plan.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("most", [31, 32, 63, 64, 90])
+def test_references_of_all_lengths(spark, most):
+    """Around the widths of the numbers that hold a reference's letters, and beyond them; cells cut to blocks too."""
+    rng = random.Random(most)
+    refs = ["".join(rng.choice("ABC0") for _ in range(rng.randint(most - 3, most))) for _ in range(12)]
+    refs += ["".join(c for c in w if rng.random() > 0.15) + rng.choice(["", "ZZ"]) for w in refs]
+    b, s = credits(spark, *records(rng, 60, refs)), settlements(spark, *records(rng, 60, refs))
+    want = all_pairs(b, s, DEFAULT)
+    assert len(want) > 20 and pairs(matching.fuzzy_candidates(b, s)) == want
+
+
+def test_edits_are_the_edit_distance(spark):
+    """Against the library's own distance, empty references included."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(9)
+    words = [("".join(rng.choice("AB0Z") for _ in range(rng.randint(0, 20))), "".join(rng.choice("AB0Z") for _ in range(rng.randint(0, 20)))) for _ in range(500)]
+    want = [r[0] for r in spark.createDataFrame(words, "x string, y string").select(F.levenshtein("x", "y")).collect()]
+    (x_size, x, _), (y_size, y, _) = (matching._letters(pd.Series(side)) for side in zip(*words, strict=True))
+    masks = np.zeros((len(words), 43), np.uint32)
+    for r in range(len(words)):
+        for k in range(x_size[r]):
+            masks[r, x[r, k]] |= np.uint32(1 << k)
+    assert matching._edits(masks, np.arange(len(words)), x_size, y, y_size).tolist() == want
