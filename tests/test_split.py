@@ -97,3 +97,13 @@ def test_meeting_in_the_middle_equals_all_subsets():
 def test_a_pool_of_one_amount_lists_the_first_sets():
     assert split.subset_sums([700] * 25, 1400) == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)]
     assert split.subset_sums([100] * 25, 600, limit=2) == [(0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 4, 6)]
+
+
+def test_only_linked_credits_are_looked_at_again(spark, monkeypatch):
+    """Sets found for a reference do not send the other credits of the days around into another search."""
+    have = [(f"s{i:02d}{k}", f"K{i}_S{k}", 1_000 + i + k, DAY, "EUR") for i in range(20) for k in range(2)]
+    bank = [(f"b{i:02d}", f"K{i}", 2_001 + 2 * i, DAY, "EUR") for i in range(20)] + [("again", "K3", 2_007, DAY, "EUR")]
+    seen, pools = [], split.candidate_pools
+    monkeypatch.setattr(split, "candidate_pools", lambda credits, *rest: seen.append(credits.count()) or pools(credits, *rest))
+    assert rows_of(split.solve(credits(spark, *bank), settlements(spark, *have), staged, linked_only=True)) == in_turn(bank, have, True)
+    assert seen[:2] == [21, 1]
