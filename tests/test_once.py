@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
 from tallyloom.operators import consolidate, matching, split
+from tallyloom.plans import reconcile
 from tallyloom.plans.cluster import staged
 from tallyloom.plans.queries import Case
 
@@ -32,6 +33,20 @@ def test_runs_do_not_derive_their_records_again(spark):
     assert pairs(case.plain.settlements, *case.work.settlements().columns) == pairs(case.work.settlements(), *case.work.settlements().columns)
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the given tables")
+def test_verdicts_do_not_run_the_passes_before_them_again(spark, monkeypatch):
+    names, case = [], Case(spark, DATA)
+    apart = reconcile.Reconciliation(*case.records)
+    apart.replies = case.work.replies(apart.ambiguous)
+    want = pairs(apart.matches, "bank_credit_id", "settlement_id", "matched_by"), pairs(apart.exceptions, "source", "record_id", "exception_type")
+    monkeypatch.setattr(reconcile, "staged", listing(names))
+    assert len(pairs(case.plain.matches)) < len(want[0])
+    done = len(names)
+    run = case.with_verdicts
+    assert pairs(run.matches, "bank_credit_id", "settlement_id", "matched_by") == want[0] and names[done:] == ["verdicts", "matches"]
+    assert pairs(run.exceptions, "source", "record_id", "exception_type") == want[1]
+
+
 def test_scores_are_written_with_the_pairs(spark):
     tables = {}
     matching.fuzzy_candidates(credits(spark, ("B", "UTR1234", 1000, DAY, "INR")), settlements(spark, ("S", "UTR1235", 1001, DAY, "INR")), stage=lambda df, n: tables.setdefault(n, staged(df, n)))
