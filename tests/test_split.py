@@ -107,3 +107,30 @@ def test_only_linked_credits_are_looked_at_again(spark, monkeypatch):
     monkeypatch.setattr(split, "candidate_pools", lambda credits, *rest: seen.append(credits.count()) or pools(credits, *rest))
     assert rows_of(split.solve(credits(spark, *bank), settlements(spark, *have), staged, linked_only=True)) == in_turn(bank, have, True)
     assert seen[:2] == [21, 1]
+
+
+def test_equal_pools_are_searched_once_in_a_task(spark, monkeypatch):
+    """Credits of one day and amount ask the same; one that finds a linked pool leaves the others alone."""
+    have = [(f"s{i:02d}", f"U{i}", 1_000 + 7 * i * i, DAY, "EUR") for i in range(30)] + [(f"k{i}", f"K_S{i}", 400 + i, DAY, "EUR") for i in range(2)]
+    bank = [("linked", "K", 801, DAY, "EUR")] + [(f"b{i:02d}", f"X{i}", 90_000_000, DAY, "EUR") for i in range(40)]
+    pools = split.candidate_pools(credits(spark, *bank), settlements(spark, *have))
+    assert {r.bank_credit_id for r in pools.where("linked").collect()} == {"linked"} and pools.where("size(nets) = 25").count() == 40
+    asked, search = spark.sparkContext.accumulator(0), split.subset_sums
+
+    def counted(*args):
+        asked.add(1)
+        return search(*args)
+
+    monkeypatch.setattr(split, "subset_sums", counted)
+    assert split._searched(pools, DEFAULT).count() == 41
+    assert 1 < asked.value <= 1 + split.SPREAD
+
+
+def test_taken_settlements_behind_a_full_pool_are_not_listed(spark):
+    """25 settlements that nobody takes come first on each day, so those taken behind them are in no list."""
+    have = [(f"a{i:02d}", "u", 100 + i, DAY, "EUR") for i in range(25)] + [(f"t{i:02d}", "u", 900 + i, DAY, "EUR") for i in range(50)]
+    bank = [("b0", "x", 5, DAY, "EUR"), ("b1", "y", 6, DAY + timedelta(2), "EUR")]
+    own = settlements(spark, *have).selectExpr("settlement_id", "net", "settled_at", "currency", "seq as s_seq", "case when settlement_id like 't%' then 1000L end as taken_at")
+    at = credits(spark, *bank).select("currency", "credited_at")
+    lists = [r.have for r in split._lists(own, at, ["currency"], DEFAULT)[1].collect()]
+    assert len(lists) == 2 and all([x.settlement_id for x in have_] == [f"a{i:02d}" for i in range(25)] for have_ in lists)
