@@ -271,6 +271,18 @@ def test_variants_equal_brute_force(spark, misspell):
     assert sum(x[1] is not None for x in want) > 30 and sum(x[1] is not None and x[2] != x[1] for x in want) > 0
 
 
+def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(variants, "CHARS_AT_ONCE", 40)
+    r = random.Random(11)
+    vocabulary = made_up(r, 20) + ["ÀÉÎõü", "z" * 90, "STRASSE"]
+    text = " ".join(r.choice(vocabulary) for _ in range(900))
+    pieces = list(variants._pieces(text))
+    assert "".join(pieces) == text and max(map(len, pieces)) <= 40 + 90
+    rows = [(i, text) for i in range(3)] + [(9, "z" * 200), (10, None), (11, "")]
+    got = variants.spelling_variants(frame(spark, rows), misspell=97).select(COLUMNS)
+    assert {tuple(x) for x in got.collect()} == expected(rows, 97)
+
+
 def test_tiles_meet_every_pair_once(spark):
     r = random.Random(7)
     words = sorted({w.lower() for w in made_up(r, 150)} | {a + b + c + "same" for a in "abcd" for b in "abcd" for c in "abcd"})
